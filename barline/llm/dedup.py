@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from barline.llm import shingles
 from barline.llm.components import components
-from barline.llm.tables import partitions, runs, saved
+from barline.llm.tables import likely_in, partitions, runs, saved
 
 SLOTS, BITS, CHUNK = 50, 16, 5
 #: Slots that a pair with similarity 0.75 differs in at most, but for 4e-5 of such pairs.
@@ -170,7 +170,7 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, share: int) -> DataFrame:
     """Links (a, b) between documents of a cluster whose full sets are similar enough, as spanning forests of blocks."""
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
     members = clusters.join(sizes, "cluster").withColumn("whole", F.col("members") <= BLOCK).drop("members")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    texts = likely_in(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", clusters.select("rep"))
     sets = members.join(texts, "rep").select("cluster", "rep", "whole", "text").distinct()
     sets = saved(sets.mapInArrow(_sets, "cluster long, rep long, whole boolean, found binary"), "sets")
     one = sets.where("whole").selectExpr("cluster", "rep", "found", "false AS sure", "0 AS part", "0 AS i", "0 AS j")
@@ -216,7 +216,9 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     )
     keys = distinct.select("rep", "signature").mapInArrow(_keys, "key long, rep long")
     shared = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("n"))
-    met = saved(keys.join(shared.where("hub < top").select("key", "hub", "n"), "key"), "met")
+    # Written, so that the join has a plain exchange on both sides and a key that very many share can be split.
+    shared = saved(shared.where("hub < top").select("key", "hub", "n"), "shared")
+    met = saved(keys.join(shared, "key"), "met")
     near = (
         met.where(F.col("n") <= BUCKET)
         .select("key", "rep")
@@ -226,7 +228,7 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
         .mapInArrow(_near_in_buckets, "a long, b long")
     )
     large = met.where((F.col("n") > BUCKET) & (F.col("rep") > F.col("hub"))).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    clusters = components(near.unionByName(large))
+    clusters = saved(components(near.unionByName(large)), "clusters")
     links = _confirmed(docs, clusters.select(F.col("component").alias("cluster"), F.col("node").alias("rep")), share)
     # The texts of a repeated doc_id belong together.
     real = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_id")

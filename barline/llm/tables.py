@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
 
@@ -73,3 +75,35 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             last = key
     if held:
         yield pa.concat_tables(held)
+
+
+#: Bits of an id filter at most, 16 MB; with more ids than an eighth of that it lets ever more others through.
+FILTER_BITS = 1 << 27
+
+
+def likely_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose `column` is in the one column of `ids`, and a few others: a Bloom filter ahead of a join.
+
+    The filter has a fixed size bound and goes to all executors, so that the rows that find no partner stay where they
+    are. It only saves moving them; the join that follows decides.
+    """
+    n = ids.count()
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    at = lambda c: [F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+    places = ids.select(F.explode(F.array(*at(F.col(ids.columns[0])))).alias("bit"))
+    words = places.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("mask"))
+    got = words.toArrow()  # at most bits / 64 rows
+    mask = np.zeros(bits >> 6, np.uint64)
+    mask[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
+    sent, names = rows.sparkSession.sparkContext.broadcast(mask), rows.columns
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            for place in (batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+                bit = place.fill_null(0).to_numpy(zero_copy_only=False)
+                ok &= (sent.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            yield batch.select(names).filter(pa.array(ok))
+
+    one, two = at(F.col(column))
+    return rows.withColumns({"_bit_1": one, "_bit_2": two}).mapInArrow(step, rows.schema)
