@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import dedup, langid, secrets, tokenids
+from barline.llm import decontaminate, dedup, langid, mixing, secrets, sketch, tokenids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,27 @@ def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_ecoc_language_id, op2_range_coded_ids, op3_minhash_dedup, op5_secret_ownership)
+def op6_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_copies(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = (
+    op1_ecoc_language_id,
+    op2_range_coded_ids,
+    op3_minhash_dedup,
+    op5_secret_ownership,
+    op6_golden_ratio_mix,
+    op8_scaled_sketch,
+    op9_seed_and_align,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
