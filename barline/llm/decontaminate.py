@@ -201,3 +201,22 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(step, kinds))
     return out
+
+
+def without_copies(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no copy of a benchmark item. Same cases as find_copies.
+
+    A document is judged where it is read; no text is moved.
+    """
+    spark, out = docs.sparkSession, docs
+    for items in _slices(benchmark):
+        sent = spark.sparkContext.broadcast(items.rarest(_frequency(docs, items)))
+
+        def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items = sent.value
+            for batch in batches:
+                clean = [not matches(items, items.numbers(text), least) for text in texts_of(batch)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(step, docs.schema)
+    return out

@@ -87,6 +87,20 @@ def laid_out(sized: DataFrame, documents: int) -> DataFrame:
     return hashed.withColumn("inside", inside).join(sums, ["k", "range"]).withColumn("start", F.col("inside") + F.col("before")).drop("inside", "before", "place", "range")
 
 
+def mixed_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The rows of docs, each as often as the mix takes its words, rounded; all columns are kept.
+
+    The blocks that are taken once more than others are the first of a source, so at most one document of a source is
+    taken in part and rounding keeps the targets.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = saved(numbered, "numbered")
+    taken = mix(numbered.withColumn("doc_id", F.col("_row")), slots).where("taken > 0")
+    times = taken.select(F.col("doc_id").alias("_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    copies = numbered.join(times.where("_times > 0"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.select(docs.columns)
+
+
 def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs (doc_id, text, source; others are ignored).
 

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import decontaminate, dedup, langid, mixing, secrets, sketch, tokenids
+from barline.llm import decontaminate, dedup, langid, licenses, mixing, privacy, secrets, sketch, tokencount, tokenids
+
+
+#: The key of the surrogates in this query; users give their own, which nobody else should know.
+KEY = "not a secret"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,13 +29,17 @@ def op1_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenids.encode_and_read(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return tokenids.encode_and_read(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +48,10 @@ def op6_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.replace_personal_data(_table(spark, sf_dir, "documents"), KEY)
+
+
 def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -47,14 +60,21 @@ def op9_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_copies(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = (
     op1_ecoc_language_id,
     op2_range_coded_ids,
     op3_minhash_dedup,
+    op4_license_compression,
     op5_secret_ownership,
     op6_golden_ratio_mix,
+    op7_pii_surrogates,
     op8_scaled_sketch,
     op9_seed_and_align,
+    op10_viterbi_token_counts,
 )
 
 
