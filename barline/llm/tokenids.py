@@ -31,7 +31,7 @@ FORMAT = "part int, block int, doc_ids binary, lengths binary, n_ids long, paylo
 
 def _blocks(vocabulary: str):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ByteLevelIds(vocabulary)
+        ids = ByteLevelIds.of_file(vocabulary)
         part, block, end = TaskContext.get().partitionId(), 0, np.array([END], "<u2").tobytes()
         docs: list[np.ndarray] = []
         coded: list[bytes] = []

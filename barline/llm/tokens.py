@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
+from functools import lru_cache
 
 REMEMBERED = 1 << 19
 _OTHER = re.compile(r"[^\S \n]")
-_SIGNS = frozenset(",.;:!?")
+#: Signs that never join the letters before them; the apostrophe does.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class ByteLevelIds:
@@ -33,21 +35,35 @@ class ByteLevelIds:
             raise ValueError("ids do not fit into 16 bits")
         self.first: dict[str, bytes] = {}  # words at the start of a line
         self.later: dict[str, bytes] = {}  # words after a space
+        self.signs: dict[str, bytes] = {}  # runs of signs after letters
         self.newline = self._whole(["\n"])[0]
-        self.sign = dict(zip(_SIGNS, self._whole(list(_SIGNS)), strict=True))
+
+    @classmethod
+    @lru_cache(maxsize=1)
+    def of_file(cls, path: str) -> ByteLevelIds:
+        """One for all tasks of a worker process, which so share the words that they have met."""
+        return cls(path)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        words = {w for w in words if w not in known}
-        signed = [w for w in words if w[-1] in _SIGNS and w[:-1].isalpha()]
-        words.difference_update(signed)
-        words.update(w[:-1] for w in signed if w[:-1] not in known)
+        words = words.difference(known)
+        signed: list[tuple[str, str, str]] = []
+        for w in words:
+            letters = w.rstrip(_SIGNS)
+            if len(letters) < len(w) and letters.isalpha():
+                signed.append((w, letters, w[len(letters) :]))
+        words.difference_update(w for w, _, _ in signed)
+        words.update({letters for _, letters, _ in signed}.difference(known))
         listed = list(words)
         known.update(zip(listed, self._whole([before + w for w in listed]), strict=True))
-        for w in signed:
-            known[w] = known[w[:-1]] + self.sign[w[-1]]
+        if len(self.signs) > REMEMBERED:
+            self.signs.clear()
+        runs = list({run for _, _, run in signed}.difference(self.signs))
+        self.signs.update(zip(runs, self._whole(runs), strict=True))
+        for w, letters, run in signed:
+            known[w] = known[letters] + self.signs[run]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
@@ -71,6 +87,13 @@ class ByteLevelIds:
         ]
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def _other_blank(text: str) -> bool:
     """White space other than single spaces and newlines, by the widest definition."""
     return bool(_OTHER.search(text))
