@@ -56,10 +56,10 @@ def bounded_range(spark, sf_dir):
 # ---- ingest ----
 
 
-def _damaged(spark, sf_dir):
+def damaged(ticks: DataFrame) -> DataFrame:
     """Ticks of which some are made invalid."""
     seq = F.col("seq")
-    return _ticks(spark, sf_dir).withColumns(
+    return ticks.withColumns(
         {
             "ts": F.when(seq % 103 == 0, -1).otherwise(F.col("ts")),
             "high": F.when(seq % 101 == 0, float("inf")).otherwise(F.col("high")),
@@ -74,11 +74,11 @@ VALID = "ts >= 0 AND isfinite(open) AND isfinite(high) AND isfinite(low) AND isf
 
 
 def valid_candles(spark, sf_dir):
-    return store.ingest(_damaged(spark, sf_dir))[0]
+    return store.ingest(damaged(_ticks(spark, sf_dir)))[0]
 
 
 def rejected_candles(spark, sf_dir):
-    return store.ingest(_damaged(spark, sf_dir))[1].select("seq", "symbol", "fault")
+    return store.ingest(damaged(_ticks(spark, sf_dir)))[1].select("seq", "symbol", "fault")
 
 
 # ---- residency ----

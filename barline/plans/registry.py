@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.plans import market
+from barline.plans import live, market
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(market.QUERIES)
+    return market.QUERIES | live.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(market.ORACLES)
+    return market.ORACLES | live.ORACLES
