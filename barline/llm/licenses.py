@@ -75,6 +75,7 @@ LEVEL = 12
 REMEMBERED = 1 << 14
 
 _WORD = re.compile(r"[^\W_]+")
+_BLANK = re.compile(r"\s")
 
 
 def words_of(text: str) -> list[str]:
@@ -96,20 +97,22 @@ def hints(text: str) -> list[int]:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Start and end of the parts of a text that may hold a license, at word bounds, in order, apart from each other."""
-    out: list[list[int]] = []
+    """Start and end of the parts of a text that may hold a license, in order, apart from each other, cut at white space where there is some."""
+    found: list[list[int]] = []  # start, first hint, last hint, end
     for hint in hints(text):
         a, b = max(0, hint - AROUND), min(len(text), hint + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+        if found and a <= found[-1][3]:
+            found[-1][2:] = hint, b
         else:
-            out.append([a, b])
-    for at in out:
-        while at[0] and not text[at[0] - 1].isspace() and not text[at[0]].isspace():
-            at[0] += 1
-        while at[1] < len(text) and not text[at[1]].isspace() and not text[at[1] - 1].isspace():
-            at[1] -= 1
-    return [(a, b) for a, b in out if a < b]
+            found.append([a, hint, hint, b])
+    out = []
+    for a, first, last, b in found:
+        if a and (blank := _BLANK.search(text, a, first)):
+            a = blank.start()
+        if b < len(text) and (blanks := list(_BLANK.finditer(text, last, b))):
+            b = blanks[-1].end()
+        out.append((a, b))
+    return out
 
 
 def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str], int, int]:

@@ -125,7 +125,7 @@ def drawn(key: str, kind: Column, what: Column, draw: Column) -> Column:
     """The surrogate of a normal form, in normal form, on a draw."""
     digest = _digest(key, kind, what, draw)
     local, domain = F.substring_index(what, "@", 1), F.substring_index(what, "@", -1)
-    top = F.regexp_extract(domain, "\\.[a-z]+$", 0)
+    top = F.regexp_extract(domain, "(?:^|\\.)example\\.(?:com|net|org)$|\\.[a-z]+$", 0)  # reserved names stay reserved
     # A domain has one surrogate for all its addresses; only the local part is drawn again.
     moved = _redrawn(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), _digest(key, F.lit("domain"), domain, F.lit(0)))
     longer = F.when(draw >= GROWS, F.substring(F.translate(digest, "0123456789", "ghijklmnop"), F.lit(9), (draw - GROWS + 2).cast("int"))).otherwise("")

@@ -152,7 +152,7 @@ class UnigramCounter:
             return [self.solve((" " + t).replace(" ", MARK)) if t else (0, 0.0, 0) for t in texts]
         if len(self.at) > REMEMBERED:
             self.at, self.solved = {}, np.empty((0, 3))
-        parts = [self.apart.findall(" " + t) if t else [] for t in texts]
+        parts = [self.apart.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         self._learn(set(chain.from_iterable(parts)))
         places = [np.fromiter(map(self.at.__getitem__, p), np.int64, len(p)) for p in parts]
         return [(int(n), float(s), int(u)) for n, s, u in (self.solved[p].sum(axis=0) for p in places)]
