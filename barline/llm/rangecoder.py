@@ -39,17 +39,17 @@ class Model:
 
     def __init__(self, lanes: int, spread: bool):
         self.c1, self.c2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.next1, self.sure1 = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
-        self.next2, self.sure2 = np.zeros(1 << PAIR_BITS, np.int32), np.zeros(1 << PAIR_BITS, np.int8)
+        # Per context the id that came last, times 16, and how sure that is.
+        self.last1, self.last2 = np.zeros(IDS, np.int32), np.zeros(1 << PAIR_BITS, np.int32)
         # Per state: order 2 right, else order 1 right, neither.
         self.right = np.tile(np.array([0.4, 0.3, 0.6])[:, None], (1, (SURE + 1) ** 2 * 2))
-        self.seen, self.held, self.step, self.spread = np.zeros(IDS), [], 0, spread
+        self.seen, self.held, self.outcomes, self.step, self.spread = np.zeros(IDS), [], [], 0, spread
         self._rebuild()
         self._weigh()
 
     def _rebuild(self) -> None:
-        for ids in self.held:
-            self.seen += np.bincount(ids, minlength=IDS)
+        if self.held:
+            self.seen += np.bincount(np.concatenate(self.held), minlength=IDS)
         self.held = []
         total = self.seen.sum()
         free = BASE - IDS
@@ -60,6 +60,10 @@ class Model:
             self.slot = np.repeat(np.arange(IDS, dtype=np.int64), self.f0)
 
     def _weigh(self) -> None:
+        if self.outcomes:
+            size = self.right.shape[1]
+            self.right += np.bincount(np.concatenate(self.outcomes), minlength=3 * size).reshape(3, size)
+        self.outcomes = []
         share = self.right / self.right.sum(axis=0)
         self.w0 = np.clip((share[2] * (TOTAL >> BASE_BITS)).astype(np.int64), 1, (TOTAL >> BASE_BITS) - 1)
         free = TOTAL - (self.w0 << BASE_BITS)
@@ -69,21 +73,19 @@ class Model:
     def predict(self) -> None:
         """p1, p2 and the weights of this step, one per lane."""
         self.at2 = ((self.c2 * 0x9E3779B1 + self.c1 * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - PAIR_BITS)
-        self.p1, self.s1 = self.next1[self.c1], self.sure1[self.c1]
-        self.p2, self.s2 = self.next2[self.at2].astype(np.int64), self.sure2[self.at2].astype(np.int64)
-        self.state = (self.s2 * (SURE + 1) + self.s1) * 2 + (self.p1 == self.p2)
+        self.g1, self.g2 = self.last1[self.c1], self.last2[self.at2]
+        self.p1, self.p2 = self.g1 >> 4, self.g2 >> 4
+        self.state = (((self.g2 & 15) << 5) | ((self.g1 & 15) << 1)) + (self.p1 == self.p2)
         self.a0, self.a1, self.a2 = self.w0[self.state], self.w1[self.state], self.w2[self.state]
 
-    def learn(self, ids: np.ndarray) -> None:
-        hit1, hit2 = ids == self.p1, ids == self.p2
+    def learn(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
         size = self.right.shape[1]
-        self.right += np.bincount(self.state + size * np.where(hit2, 0, np.where(hit1, 1, 2)), minlength=3 * size).reshape(3, size)
-        for near, sure, at, hit, told, was in (
-            (self.next1, self.sure1, self.c1, hit1, self.p1, self.s1),
-            (self.next2, self.sure2, self.at2, hit2, self.p2, self.s2),
-        ):
-            near[at] = np.where(hit | (was > 1), told, ids)
-            sure[at] = np.where(hit, np.minimum(was + 1, SURE), np.where(was > 1, was >> 1, 1))
+        self.outcomes.append(self.state + np.where(hit2, 0, np.where(hit1, size, 2 * size)))
+        new = (ids << 4).astype(np.int32) | 1
+        for table, at, told, hit in ((self.last1, self.c1, self.g1, hit1), (self.last2, self.at2, self.g2, hit2)):
+            sure = told & 15
+            missed = np.where(sure > 1, told - sure + (sure >> 1), new)
+            table[at] = np.where(hit, told + (sure < SURE), missed)
         self.c2, self.c1 = self.c1, ids
         self.held.append(ids)
         self.step += 1
@@ -125,7 +127,7 @@ def encode(ids: np.ndarray) -> bytes:
         used[out] += 1
         low[out] <<= _32
         width[out] <<= _32
-        model.learn(now)
+        model.learn(now, hit1, hit2)
     last = low + (_LOW - np.uint64(1))
     _carry(words, used, np.flatnonzero(last < low))
     words[np.arange(lanes), used] = last >> _32
@@ -189,15 +191,16 @@ def decode(block: bytes) -> np.ndarray:
         rest = np.where(rest >= ends, rest - wb, rest)
         part = np.minimum((rest / model.a0).astype(np.int64), BASE - 1)  # exact: both are below 2 ** 26
         now = np.where(in_a, pa, np.where(in_b, pb, model.slot[part]))
+        hit1, hit2 = model.p1 == now, model.p2 == now
         start = model.a0 * model.c0[now] + model.a1 * (model.p1 < now) + model.a2 * (model.p2 < now)
-        size = model.a0 * model.f0[now] + model.a1 * (model.p1 == now) + model.a2 * (model.p2 == now)
+        size = model.a0 * model.f0[now] + model.a1 * hit1 + model.a2 * hit2
         value = value - unit * start.view(np.uint64)
         width = unit * size.view(np.uint64)
         short = np.flatnonzero(width < _LOW)
         value[short] = (value[short] << _32) | word(short)
         width[short] <<= _32
         grid[step] = now
-        model.learn(now)
+        model.learn(now, hit1, hit2)
     ids = np.ascontiguousarray(grid.T).ravel()[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("the checksum of a block of ids is wrong")

@@ -13,7 +13,8 @@ import sys
 from array import array
 from functools import lru_cache
 
-REMEMBERED = 1 << 19
+#: Words in a table before it is set aside.
+REMEMBERED = 1 << 18
 _OTHER = re.compile(r"[^\S \n]")
 #: Signs that never join the letters before them; the apostrophe does.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -35,6 +36,7 @@ class ByteLevelIds:
             raise ValueError("ids do not fit into 16 bits")
         self.first: dict[str, bytes] = {}  # words at the start of a line
         self.later: dict[str, bytes] = {}  # words after a space
+        self.before: dict[int, dict[str, bytes]] = {0: {}, 1: {}}  # what these tables held until they were full
         self.signs: dict[str, bytes] = {}  # runs of signs after letters
         self.newline = self._whole(["\n"])[0]
 
@@ -47,8 +49,12 @@ class ByteLevelIds:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
+    def _learn(self, known: dict[str, bytes], words: set[str], space: int) -> None:
         words = words.difference(known)
+        old = self.before[space]
+        again = words.intersection(old)
+        known.update(zip(again, map(old.__getitem__, again), strict=True))
+        words -= again
         signed: list[tuple[str, str, str]] = []
         for w in words:
             letters = w.rstrip(_SIGNS)
@@ -57,7 +63,7 @@ class ByteLevelIds:
         words.difference_update(w for w, _, _ in signed)
         words.update({letters for _, letters, _ in signed}.difference(known))
         listed = list(words)
-        known.update(zip(listed, self._whole([before + w for w in listed]), strict=True))
+        known.update(zip(listed, self._whole([" " * space + w for w in listed]), strict=True))
         if len(self.signs) > REMEMBERED:
             self.signs.clear()
         runs = list({run for _, _, run in signed}.difference(self.signs))
@@ -74,11 +80,13 @@ class ByteLevelIds:
         for words in some:
             for line in words:
                 tails.update(line[1:])
-        for known, new in ((self.first, heads), (self.later, tails)):
-            if len(known) + 2 * len(new) > REMEMBERED:
-                known.clear()
-        self._learn(self.first, heads, "")
-        self._learn(self.later, tails, " ")
+        # A full table becomes the old one, and words that come up again are taken over from there.
+        if len(self.first) > REMEMBERED:
+            self.before[0], self.first = self.first, {}
+        if len(self.later) > REMEMBERED:
+            self.before[1], self.later = self.later, {}
+        self._learn(self.first, heads, 0)
+        self._learn(self.later, tails, 1)
         odd = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
         first, later, newline = self.first, self.later, self.newline
         return [
