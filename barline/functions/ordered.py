@@ -8,6 +8,7 @@ inside each range. Frames of bounded length get blocks of consecutive rows with
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,22 +20,41 @@ from pyspark.sql.types import StructType
 ROWS = 1 << 17
 
 
-def with_range(df: DataFrame, keys: list[str], order: str, rows: int = ROWS) -> DataFrame:
-    """Adds `_range`, equally wide ranges of `order`, a number: so many that the largest key has `rows` rows in each on average."""
+class Spread(NamedTuple):
+    """How many rows the largest key has, and between which values of the order they lie. Larger values do no harm."""
+
+    rows: int
+    low: float | None
+    high: float | None
+
+    def with_more(self, other: Spread) -> Spread:
+        lows, highs = ([x for x in pair if x is not None] for pair in ((self.low, other.low), (self.high, other.high)))
+        return Spread(self.rows + other.rows, min(lows, default=None), max(highs, default=None))
+
+
+def spread(df: DataFrame, keys: list[str], order: str) -> Spread:
+    """One pass over df; hand the result on where a table is derived from df without new values of the order."""
     each = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("low"), F.max(order).alias("high"))
     n, low, high = each.agg(F.max("n"), F.min("low"), F.max("high")).first()
-    if not n or low is None or n <= rows or high == low:
+    return Spread(n or 0, low, high)
+
+
+def with_range(df: DataFrame, order: str, known: Spread, rows: int = ROWS) -> DataFrame:
+    """Adds `_range`, equally wide ranges of `order`, a number: so many that the largest key has `rows` rows in each on average."""
+    n, low, high = known
+    if low is None or n <= rows or high == low:
         return df.withColumn("_range", F.lit(0).cast("long"))
     return df.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / F.lit(float((high - low) * rows / n))).cast("long"))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], rows: int = ROWS) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], rows: int = ROWS, known: Spread | None = None) -> DataFrame:
     """Adds for each name a sum ("sum") or maximum ("max") over all earlier rows of the same keys, without the row itself.
 
-    order must be unique within keys; its first column is a number. Sums of nothing are 0, maxima null.
+    order must be unique within keys; its first column is a number. Sums of nothing are 0, maxima null. Without `known`
+    df is read once more, for its spread.
     """
     functions: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max}
-    cut = with_range(df, keys, order[0], rows).withColumns({f"_v_{n}": v for n, (_, v) in values.items()})
+    cut = with_range(df, order[0], known or spread(df, keys, order[0]), rows).withColumns({f"_v_{n}": v for n, (_, v) in values.items()})
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "_range").agg(*(functions[how](f"_v_{n}").alias(f"_t_{n}") for n, (how, _) in values.items()))
@@ -52,9 +72,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     return joined.select(*df.columns, *(whole(n, how).alias(n) for n, (how, _) in values.items()))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n", rows: int = ROWS) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n", rows: int = ROWS, known: Spread | None = None) -> DataFrame:
     """Adds the row number, from 1, within keys in the given order."""
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, rows).withColumn(name, F.col(name) + 1)
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, rows, known).withColumn(name, F.col(name) + 1)
 
 
 def framed(df: DataFrame, keys: list[str], number: str, lookback: int, made: Callable[[Window], dict[str, Column]], rows: int = ROWS) -> DataFrame:
@@ -76,7 +96,7 @@ def folded(df: DataFrame, keys: list[str], order: list[str], start: Callable[[],
     rows pass through one task, as each needs the result of the row before.
     """
     columns = df.columns
-    spread = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +115,7 @@ def folded(df: DataFrame, keys: list[str], order: list[str], start: Callable[[],
         if state is not None and last:
             yield _batch(last(state, key), arrow)
 
-    return spread.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.ordered import numbered, running
+from barline.functions.ordered import Spread, numbered, running, spread
 from barline.functions.scalars import limit_fill_price, order_fault
 from barline.operators.indicators import level_signals
+from barline.sources.cold import saved
 
 #: Candles of a symbol per block of the search for the first candle that reaches a limit.
 BLOCK = 256
 
 
-def submitted(orders: DataFrame) -> DataFrame:
+def submitted(orders: DataFrame, known: Spread | None = None) -> DataFrame:
     """The orders with `order_id`, counted from 1 over all submissions by seq, refused ones included, and `fault`."""
-    return numbered(orders, [], ["seq"], "order_id").withColumn("fault", order_fault(F.col("qty"), F.col("price")))
+    return numbered(orders, [], ["seq"], "order_id", known=known).withColumn("fault", order_fault(F.col("qty"), F.col("price")))
 
 
 def _first_reached(limits: DataFrame, candles: DataFrame) -> DataFrame:
@@ -44,15 +45,18 @@ def paper_events(orders: DataFrame, candles: DataFrame, block: int = BLOCK) -> D
     the first candle that reaches it at its price or a better open. IOC and FOK orders have the next candle only and
     are cancelled otherwise. Refused orders have no events; orders that no candle fills have none yet.
     """
-    good = submitted(orders).where("fault IS NULL").select("order_id", "seq", "symbol", "side", "kind", "price", "qty")
-    bars = numbered(candles.select("seq", "symbol", "ts", "open", "high", "low"), ["symbol"], ["seq"])
+    of_orders, of_candles = spread(orders, [], "seq"), spread(candles, [], "seq")
+    good = submitted(orders, of_orders).where("fault IS NULL").select("order_id", "seq", "symbol", "side", "kind", "price", "qty")
+    bars = numbered(candles.select("seq", "symbol", "ts", "open", "high", "low"), ["symbol"], ["seq"], known=of_candles)
     bars = bars.withColumn("block", F.floor((F.col("n") - 1) / block).cast("long"))
     # The number of the next candle is one more than the candles so far; an order that shares a seq comes after the candle.
     marks = good.select("symbol", "seq", "order_id", F.lit(1).alias("late"), F.lit(0).cast("long").alias("one"))
     marks = marks.unionByName(bars.select("symbol", "seq", F.lit(None).cast("long").alias("order_id"), F.lit(0).alias("late"), F.lit(1).cast("long").alias("one")))
-    counted = running(marks, ["symbol"], ["seq", "late", "order_id"], {"before": ("sum", F.col("one"))}).where("order_id IS NOT NULL")
+    counted = running(marks, ["symbol"], ["seq", "late", "order_id"], {"before": ("sum", F.col("one"))}, known=of_orders.with_more(of_candles)).where("order_id IS NOT NULL")
     good = good.join(counted.select("order_id", (F.col("before") + 1).alias("next")), "order_id")
-    good = good.withColumn("block", F.floor((F.col("next") - 1) / block).cast("long"))
+    # Both are read several times below.
+    good = saved(good.withColumn("block", F.floor((F.col("next") - 1) / block).cast("long")), "orders")
+    bars = saved(bars, "bars")
     limits = good.where("kind = 'LIMIT' AND price IS NOT NULL").select("order_id", "symbol", "side", "price", "next", "block")
     once = good.where("kind <> 'LIMIT'").select("order_id", F.col("next").alias("n"))
     meets = _first_reached(limits, bars).unionByName(once)
@@ -80,7 +84,7 @@ def sma_paper_trades(candles: DataFrame, qty: float = 0.01, fast: int = 10, slow
     It buys where the level turns LONG and sells where it turns SHORT, at the open of the candle that decided, and ends
     with a sale at the last candle's `close_at`. ties_long and close_at="close" give the variant of the other client.
     """
-    turns = level_signals(candles, fast, slow, ties_long).where("changed")
+    turns = saved(level_signals(candles, fast, slow, ties_long).where("changed"), "turns")
     # Levels alternate, so of all turns only a SHORT at the very start does not trade.
     first = slow + 1
     turns = turns.where((F.col("side") == "LONG") | (F.col("n") > first))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.ordered import framed, numbered, running
+from barline.functions.ordered import Spread, framed, numbered, running, spread
 from barline.functions.scalars import PRICE_SCALE, price_key
 
 
@@ -30,9 +30,9 @@ def rolling_sma(candles: DataFrame, period: int, name: str = "sma") -> DataFrame
     return summed.withColumn(name, F.when(F.col("_n") >= period, _mean(F.col("_sum"), period))).select(*candles.columns, name)
 
 
-def accepted(candles: DataFrame) -> DataFrame:
+def accepted(candles: DataFrame, known: Spread | None = None) -> DataFrame:
     """Candles whose ts is above all earlier ones of the symbol; a strategy looks at no others."""
-    seen = running(candles, ["symbol"], ["seq"], {"_top": ("max", F.col("ts"))})
+    seen = running(candles, ["symbol"], ["seq"], {"_top": ("max", F.col("ts"))}, known=known)
     return seen.where(F.col("_top").isNull() | (F.col("ts") > F.col("_top"))).drop("_top")
 
 
@@ -46,7 +46,8 @@ def sma_crossover(candles: DataFrame, short: int = 10, long: int = 20) -> DataFr
     if min(short, long) < 1:
         return candles.limit(0).select("symbol", F.lit(0).cast("long").alias("n"), "seq", "ts", F.lit("").alias("side"), F.lit(0.0).alias("short_sma"), F.lit(0.0).alias("long_sma"))
     lean = candles.select("symbol", "seq", "ts", price_key(F.col("close")).alias("_key"))
-    counted = numbered(accepted(lean), ["symbol"], ["seq"])
+    known = spread(lean, ["symbol"], "seq")
+    counted = numbered(accepted(lean, known), ["symbol"], ["seq"], known=known)
 
     def made(window: Window) -> dict[str, Column]:
         def total(period: int, back: int) -> Column:
@@ -90,8 +91,9 @@ def monotonic_ts(rows: DataFrame, keys: list[str], now: str = "ts") -> DataFrame
 
     In closed form: the row number plus the greatest lead of `now` over it so far.
     """
-    counted = numbered(rows, keys, ["seq"], "_n")
+    known = spread(rows, keys, "seq")
+    counted = numbered(rows, keys, ["seq"], "_n", known=known)
     lead = F.col(now) - F.col("_n")
-    seen = running(counted.withColumn("_lead", lead), keys, ["seq"], {"_most": ("max", F.col("_lead"))})
+    seen = running(counted.withColumn("_lead", lead), keys, ["seq"], {"_most": ("max", F.col("_lead"))}, known=known)
     top = F.greatest(F.col("_lead"), F.col("_most"), F.lit(0).cast("long"))
     return seen.withColumn("out_ts", F.col("_n") + top).select(*rows.columns, "out_ts")

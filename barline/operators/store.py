@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.ordered import ROWS, running, with_range
+from barline.functions.ordered import ROWS, running, spread, with_range
 from barline.functions.scalars import CANDLE_BYTES
 from barline.functions.schema import first_fault, is_valid
-from barline.sources.cold import deduplicated, shared_path
+from barline.sources.cold import deduplicated, saved
 
 RING_CAPACITY = 10_000
 
@@ -27,12 +27,6 @@ def ingest(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return log.where(is_valid()), log.where(~is_valid()).withColumn("fault", first_fault())
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def replay(appends: DataFrame, max_symbols: int, rows: int = ROWS) -> DataFrame:
     """symbol, seq, inserted, victim for each append: whether the symbol came (back) in, and who had to go for it.
 
@@ -41,15 +35,16 @@ def replay(appends: DataFrame, max_symbols: int, rows: int = ROWS) -> DataFrame:
     itself from the state before it. A task holds max_symbols symbols at a time, whatever the log.
     """
     room = max(1, max_symbols)
-    cut = with_range(appends.select("symbol", "seq"), [], "seq", rows)
+    lean = appends.select("symbol", "seq")
+    cut = with_range(lean, "seq", spread(lean, [], "seq"), rows)
     newest = Window.partitionBy("_range").orderBy(F.col("seq").desc())
     latest = lambda df: df.groupBy("_range", "symbol").agg(F.max("seq").alias("seq")).withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= room).drop("_rank")
-    state = _written(latest(cut), "latest")
+    state = saved(latest(cut), "latest")
     ranges = (state.agg(F.max("_range")).first()[0] or 0) + 1
     step = 1
     while step < ranges:
         moved = state.withColumn("_range", F.col("_range") + step).where(F.col("_range") < ranges)
-        state = _written(latest(state.unionByName(moved)), "latest")
+        state = saved(latest(state.unionByName(moved)), "latest")
         step *= 2
     before = state.select("symbol", "seq", (F.col("_range") + 1).alias("_range"), F.lit(True).alias("_held"))
     # Ranges without an append of their own have no summary of their own, but their state is never asked for.
@@ -79,7 +74,7 @@ def replay(appends: DataFrame, max_symbols: int, rows: int = ROWS) -> DataFrame:
 
 def residency(appends: DataFrame, max_symbols: int) -> DataFrame:
     """The appends (with all their columns) and `residency`, numbered from 1 for each symbol."""
-    flags = replay(appends, max_symbols).select("symbol", "seq", F.col("inserted").cast("long").alias("_in"))
+    flags = saved(replay(appends, max_symbols).select("symbol", "seq", F.col("inserted").cast("long").alias("_in")), "residency")
     counted = running(flags, ["symbol"], ["seq"], {"_before": ("sum", F.col("_in"))})
     numbers = counted.select("symbol", "seq", (F.col("_before") + F.col("_in")).alias("residency"))
     return appends.join(numbers, ["symbol", "seq"])
@@ -156,7 +151,7 @@ def snapshot(log: DataFrame, max_symbols: int, ring_capacity: int = RING_CAPACIT
     spill_bytes counts rows at their size in memory. Rows that are dropped for want of cold storage count as well.
     """
     valid, invalid = ingest(log)
-    placed = _written(residency(valid, max_symbols), "placed")
+    placed = saved(residency(valid, max_symbols), "placed")
     spilled = cold_rows(placed, max_symbols, ring_capacity)
     n = F.count(F.lit(1))
     counters = {
