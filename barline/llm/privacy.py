@@ -12,6 +12,8 @@ entity. Those that do are drawn again, round by round, until all are distinct; o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,8 @@ PATTERNS = (
     ("ssn", "(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])"),
     ("name", f"(?<![\\p{{L}}\\p{{N}}]){_TITLE}\\.? {_CAPITAL}(?: {_CAPITAL}){{0,2}}"),
 )
-PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: Nothing starts right after a letter, which is most places of a text and is looked at once for all alternatives.
+PATTERN = "(?<!\\p{L})(?:" + "|".join(f"(?:{p})" for _, p in PATTERNS) + ")"
 
 #: Given names by script and gender, and parts that family names are made of.
 GIVEN = {
@@ -82,6 +85,11 @@ def normal(mention: Column, kind: Column) -> Column:
     )
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, also where it is used in a lambda for each sign."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _digest(key: str, kind: Column, what: Column, draw: Column) -> Column:
     """Bytes, as hexadecimal, that only who has the key can tell; at least as many as the signs of `what`."""
     seed = F.concat_ws("|", F.lit(key), kind, draw.cast("string"), what)
@@ -123,11 +131,15 @@ def _picked(words: list[str], n: Column) -> Column:
 
 def drawn(key: str, kind: Column, what: Column, draw: Column) -> Column:
     """The surrogate of a normal form, in normal form, on a draw."""
-    digest = _digest(key, kind, what, draw)
+    return _bound(_digest(key, kind, what, draw), lambda digest: _drawn(key, kind, what, draw, digest))
+
+
+def _drawn(key: str, kind: Column, what: Column, draw: Column, digest: Column) -> Column:
     local, domain = F.substring_index(what, "@", 1), F.substring_index(what, "@", -1)
     top = F.regexp_extract(domain, "(?:^|\\.)example\\.(?:com|net|org)$|\\.[a-z]+$", 0)  # reserved names stay reserved
     # A domain has one surrogate for all its addresses; only the local part is drawn again.
-    moved = _redrawn(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), _digest(key, F.lit("domain"), domain, F.lit(0)))
+    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
+    moved = _bound(_digest(key, F.lit("domain"), domain, F.lit(0)), lambda own: _redrawn(host, own))
     longer = F.when(draw >= GROWS, F.substring(F.translate(digest, "0123456789", "ghijklmnop"), F.lit(9), (draw - GROWS + 2).cast("int"))).otherwise("")
     email = F.concat(_redrawn(local, digest), longer, F.lit("@"), moved, top)
     octets = F.split(what, "\\.")
@@ -163,6 +175,10 @@ def drawn(key: str, kind: Column, what: Column, draw: Column) -> Column:
 
 def written(mention: Column, kind: Column, surrogate: Column) -> Column:
     """A surrogate in the form of a mention: its signs between the digits, its title, its capitals."""
+    return _bound(surrogate, lambda found: _written(mention, kind, found))
+
+
+def _written(mention: Column, kind: Column, surrogate: Column) -> Column:
     signs = F.split(mention, "")
     taken = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), "[^A-Z0-9]", ""))
     spelled = F.array_join(F.transform(signs, lambda c, i: F.when(c.rlike("^[A-Z0-9]$"), F.substring(surrogate, taken(i) + 1, F.lit(1))).otherwise(c)), "")
@@ -209,9 +225,13 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     none of which is an entity of these documents. The key is a secret of the caller: without it nobody can tell which
     surrogate belongs to whom. Repeated rows give repeated results; an empty table gives an empty one.
     """
-    found = docs.select("doc_id", "text").withColumn("mentions", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    kinds = F.transform("mentions", lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
-    found = found.withColumn("mentions", F.coalesce(F.transform(kinds, lambda s: F.struct(s["mention"].alias("mention"), s["kind"].alias("kind"), normal(s["mention"], s["kind"]).alias("what"))), F.array()))
+    # Each mention gets a mark before and after it; the mark holds the hash of the text, so the text does not hold it.
+    mark = F.concat(F.lit("\ufdd0"), F.hex(F.xxhash64("text")), F.lit("\ufdd1"))
+    marked = docs.select("doc_id", "text").withColumn("mark", mark)
+    marked = marked.withColumn("parts", F.split(F.regexp_replace("text", F.lit(PATTERN), F.concat("mark", F.lit("$0"), "mark")), F.col("mark"), -1))
+    mentions = F.filter("parts", lambda _, i: i % 2 == 1)
+    told = lambda m, kind: F.struct(m.alias("mention"), kind.alias("kind"), normal(m, kind).alias("what"))
+    found = marked.withColumn("mentions", F.coalesce(F.transform(mentions, lambda m: _bound(kind_of(m), lambda kind: told(m, kind))), F.array())).drop("mark")
     some = found.where(F.size("mentions") > 0).select(F.xxhash64("text").alias("key"), F.explode("mentions").alias("m")).select("key", "m.kind", "m.what").distinct()
     some = saved(some, "mentions")
     odd = exceptions(some.select("kind", "what").distinct(), key)
@@ -229,7 +249,7 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
         exception = F.try_element_at(F.col("odd"), F.concat_ws("|", m["kind"], m["what"]))
         return written(m["mention"], m["kind"], F.coalesce(exception, drawn(key, m["kind"], m["what"], F.lit(0))))
 
-    between = F.split("text", PATTERN, -1)
+    between = F.filter("parts", lambda _, i: i % 2 == 0)
     pieces = F.zip_with(between, F.transform("mentions", surrogate), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     count = lambda kind: F.size(F.filter("mentions", lambda m: m["kind"] == kind)).cast("long")
     return found.select(
