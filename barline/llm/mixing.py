@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barline.llm.tables import saved
+from barline.llm.tables import free_name, saved
 
 #: Slots of the mix at most; a block has at least one word.
 SLOTS = 1 << 18
@@ -93,12 +93,12 @@ def mixed_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     The blocks that are taken once more than others are the first of a source, so at most one document of a source is
     taken in part and rounding keeps the targets.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    numbered = saved(numbered, "numbered")
-    taken = mix(numbered.withColumn("doc_id", F.col("_row")), slots).where("taken > 0")
-    times = taken.select(F.col("doc_id").alias("_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    copies = numbered.join(times.where("_times > 0"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.select(docs.columns)
+    row, times = free_name(docs, "_row"), free_name(docs, "_times")
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered.select(F.col(row).alias("doc_id"), "text", "source"), slots).where("taken > 0")
+    often = taken.select(F.col("doc_id").alias(row), F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
+    copies = numbered.join(often.where(F.col(times) > 0), row)
+    return copies.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:

@@ -45,6 +45,13 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores after it as long as df has such a column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

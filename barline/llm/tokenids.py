@@ -3,7 +3,7 @@
 Documents are dealt by ranges of doc_id and sorted inside each range, so the parts follow each other in ascending
 order without a global sort. A part is a run of blocks; a block holds whole documents and is coded on its own
 (rangecoder), so any block can be read, checked or rewritten alone. The file format is a Parquet folder with one row
-per block: part, block, doc_ids (i64 each), lengths (u32 each), payload. Spark writes and commits it, so a lost
+per block: part, block, doc_ids (i64 each; the first `nameless` of them stand for null), lengths (u32 each), payload. Spark writes and commits it, so a lost
 executor leaves no half-written part and any store that Spark can write to will do.
 """
 
@@ -26,7 +26,7 @@ from barline.llm.tokens import ByteLevelIds
 #: A block is closed when it has so many ids.
 BLOCK_IDS = 1 << 22
 END = 0
-FORMAT = "part int, block int, doc_ids binary, lengths binary, n_ids long, payload binary"
+FORMAT = "part int, block int, nameless int, doc_ids binary, lengths binary, n_ids long, payload binary"
 
 
 def _blocks(vocabulary: str):
@@ -35,24 +35,25 @@ def _blocks(vocabulary: str):
         part, block, end = TaskContext.get().partitionId(), 0, np.array([END], "<u2").tobytes()
         docs: list[np.ndarray] = []
         coded: list[bytes] = []
-        held = 0
+        held = nameless = 0
 
         def closed() -> pa.RecordBatch:
             lengths = np.array([len(c) // 2 for c in coded], "<u4")
             flat = np.frombuffer(b"".join(coded), "<u2")
-            row = [part, block, np.concatenate(docs).astype("<i8").tobytes(), lengths.tobytes(), len(flat), rangecoder.encode(flat)]
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+            row = [part, block, nameless, np.concatenate(docs).astype("<i8").tobytes(), lengths.tobytes(), len(flat), rangecoder.encode(flat)]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
             names = [x.split()[0] for x in FORMAT.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
         for batch in shingles.pieces(batches):
-            docs.append(batch.column("doc_id").to_numpy())
+            nameless += batch.column("doc_id").null_count
+            docs.append(batch.column("doc_id").fill_null(0).to_numpy())
             new = [x + end for x in ids.encode([t or "" for t in batch.column("text").to_pylist()])]
             coded += new
             held += sum(map(len, new)) // 2
             if held >= BLOCK_IDS:
                 yield closed()
-                docs, coded, held, block = [], [], 0, block + 1
+                docs, coded, held, nameless, block = [], [], 0, 0, block + 1
         if coded:
             yield closed()
 
@@ -62,11 +63,11 @@ def _blocks(vocabulary: str):
 def write_ids(docs: DataFrame, path: str, vocabulary: str) -> None:
     """Encode the texts of docs (doc_id, text; others are ignored) and write the blocks to `path`.
 
-    Null texts have only the end id. Rows without a doc_id have no place in the order and raise an error; rows that
-    share one follow each other, by text. An empty table writes no block.
+    Null texts have only the end id. Rows without a doc_id come first; rows that share one follow each other by a hash
+    of the text, which also spreads them over ranges. An empty table writes no block.
     """
-    given = docs.select(F.coalesce("doc_id", F.raise_error(F.lit("a document without doc_id has no place in the order")).cast("long")).alias("doc_id"), "text")
-    placed = given.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    given = docs.select("doc_id", "text").withColumn("place", F.xxhash64("text"))
+    placed = given.repartitionByRange(partitions(docs.sparkSession), "doc_id", "place").sortWithinPartitions("doc_id", "place", "text")
     placed.mapInArrow(_blocks(vocabulary), FORMAT).write.parquet(path)
 
 
@@ -86,7 +87,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(np.full(n, row["part"], np.int32)),
                     pa.array(np.full(n, row["block"], np.int32)),
-                    pa.array(doc_ids),
+                    pa.array(doc_ids, mask=np.arange(n) < row["nameless"]),
                     pa.array(ends - lengths),
                     pa.array(lengths),
                     pa.array(crc, pa.int64()),
@@ -106,7 +107,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(so_far, F.lit(0)).alias("in_parts"))
     starts = heads.join(parts, "part").select("part", "block", (F.col("in_part") + F.col("in_parts")).alias("from"))
     kinds = "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long"
-    decoded = blocks.select("part", "block", "doc_ids", "lengths", "payload").mapInArrow(_documents, kinds)
+    decoded = blocks.select("part", "block", "nameless", "doc_ids", "lengths", "payload").mapInArrow(_documents, kinds)
     return decoded.join(starts, ["part", "block"]).select(
         "doc_id", (F.col("from") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barline.llm import decontaminate, dedup, langid, mixing, tokenids
 from barline.llm.queries import vocabulary
-from barline.llm.tables import new_path
+from barline.llm.tables import free_name, new_path
 
 #: Least score of a language that a document is kept with.
 LEAST_SCORE = 0.5
@@ -20,13 +20,14 @@ LEAST_SCORE = 0.5
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; it fills a missing lang. Rejected: no letters, or no language is likelier than all others together."""
     given = langid.with_held_out(docs.select("doc_id", "text", "lang"))
-    told = langid.identify(docs, langid.fit(given), tuple(docs.columns))
+    names = {c: free_name(docs, f"_{c}") for c in ("lang_pred", "score", "ambiguous") if c in docs.columns}
+    told = langid.identify(docs.withColumnsRenamed(names), langid.fit(given), tuple(names.get(c, c) for c in docs.columns))
     sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
-    return told.where(sure).withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    return told.where(sure).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id; of rows that share that id, one."""
+    """Of each group of near-duplicates the document with the least id; of rows that share that id, one. Rows without id stay."""
     kept = dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
     some = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return some.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
@@ -45,8 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the written ids."""
-    placed = docs.where("doc_id IS NOT NULL")
-    return tokenids.encode_and_read(placed, vocabulary("byte_bpe_50k.json"))
+    return tokenids.encode_and_read(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [

@@ -149,8 +149,8 @@ def test_ids_of_odd_texts(spark):
     assert tokenids.encode_and_read(table(spark, rows).limit(0), path).count() == 0
     twice = tokenids.encode_and_read(table(spark, [(1, "b"), (1, "a"), (0, "c")]), path).collect()
     assert sorted(r["start"] for r in twice) == [0, 2, 4]
-    with pytest.raises(Exception, match="without doc_id"):
-        tokenids.encode_and_read(table(spark, [(None, "x")]), path).collect()
+    nameless = tokenids.encode_and_read(table(spark, [(-1, "b"), (None, "a"), (None, "x")]), path).collect()
+    assert sorted((r["start"], r["doc_id"]) for r in nameless if r["doc_id"]) == [(4, -1)] and {r["start"] for r in nameless} == {0, 2, 4}
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1023, 1024, 1025, 50_000])

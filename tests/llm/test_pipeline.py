@@ -1,9 +1,11 @@
 """The pipeline's stages one by one on a small table."""
 
+import random
 import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,6 +70,23 @@ def test_ids_follow_the_documents(stages):
     assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:], strict=False))
 
 
+@pytest.mark.parametrize("stage", [stage for _, stage in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, stage):
+    from test_operators import prose, table
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 40), "a" if i % 2 else None, None if i % 5 else "s") for i in range(30)]
+    rows += [(None, None, None, None), (None, rows[3][1], "a", "s"), (100, "", None, "s"), (101, None, "b", None), rows[3], rows[3]]
+    docs = table(spark, rows).withColumn("lang_pred", F.lit("own")).withColumn("score", F.lit(1.5))
+    for given in (docs, docs.limit(0)):
+        got = stage(spark, given, SF)
+        n = got.count()
+        assert (n > 0) == (given is docs)
+        if stage is not corpus_pipeline.STAGES[-1][1]:
+            assert got.columns == docs.columns
+            assert {(r["lang_pred"], r["_row"], r["score"]) for r in got.collect()} <= {("own", "clash", 1.5)}
+
+
 def test_run_is_registered(spark):
     import __spark_entry__
 
