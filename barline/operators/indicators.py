@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.functions.options import StrategyOptions
 from barline.functions.ordered import Spread, framed, numbered, running, spread
 from barline.functions.scalars import PRICE_SCALE, price_key
 
@@ -62,6 +63,12 @@ def sma_crossover(candles: DataFrame, short: int = 10, long: int = 20) -> DataFr
     return told.select("symbol", "n", "seq", "ts", "side", _mean(F.col("_s"), short).alias("short_sma"), _mean(F.col("_l"), long).alias("long_sma"))
 
 
+def strategy_signals(candles: DataFrame, options: StrategyOptions = StrategyOptions()) -> DataFrame:
+    """The signals (seq, ts, symbol, side, qty, price, strategy) of the crossover strategy: one for each crossing."""
+    found = sma_crossover(candles, options.short, options.long)
+    return found.select("seq", "ts", "symbol", "side", F.lit(options.qty).alias("qty"), F.lit(options.price).alias("price"), F.lit(options.strategy).alias("strategy"))
+
+
 def level_signals(candles: DataFrame, fast: int = 10, slow: int = 20, ties_long: bool = False) -> DataFrame:
     """symbol, n, seq, ts, open, close, side, changed from candle slow + 1 on: whether the fast mean is above the slow one.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.functions import scalars
+from barline.functions.options import StrategyOptions
 from barline.operators import backtest, book, indicators, portfolio, risk, stats, store
 from barline.sources import cold, klines, market
 
@@ -463,6 +464,14 @@ def executor_position(spark, sf_dir):
     return risk.executor_position(risk_gate(spark, sf_dir))
 
 
+def strategy_execution(spark, sf_dir):
+    """Candles to signals to the executor, with one account for all symbols."""
+    signals = indicators.strategy_signals(_bars(spark, sf_dir), StrategyOptions(qty=0.5)).withColumn("account", F.lit("hub"))
+    # The executor takes signals as they come: by time, then by symbol.
+    placed = signals.withColumn("seq", F.col("seq") * 128 + F.ascii("symbol"))
+    return risk.executor_position(risk.risk_gate(placed, risk.Gates(), ("account",)), ("account",))
+
+
 _R = "pos := {pos}, begun := {begun}, used := {used}, ok := {ok}, bad := {bad}, over := {over}, rate := {rate}, sd := {sd}, q := {q}, ts := {ts}"
 _QBAD = "(x.q <= 0 OR x.q > 10)"
 _POVER = "(abs(a.pos + x.sd * x.q) > 25)"
@@ -564,6 +573,7 @@ ORACLES = {
     "portfolio_pnl": PNL_SQL,
     "portfolio_cash_trades": FLOWS_SQL,
     "executor_position": EXECUTOR_SQL,
+    "strategy_execution": f"SELECT 'hub' AS account, sum(CASE side WHEN 'B' THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END) AS position, count(*) AS accepted, 0 AS bad_qty, 0 AS over_position, 0 AS over_rate FROM ({CROSS_SQL})",
     "book_top": TOP_SQL,
     "book_sweep_static": SWEEP_SQL,
     "fok_feasibility": FOK_SQL,

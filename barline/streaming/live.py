@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barline.functions.scalars import PRICE_SCALE, price_key
+from barline.functions.schema import is_valid
 from barline.operators.risk import Executor, Gates
 from barline.operators.store import ingest
 from barline.sources import cold
@@ -57,6 +58,14 @@ def bars(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return made.select(F.expr(f"unix_micros(hour.start) div {HOUR}").alias("seq"), "symbol", ts.alias("ts"), "open", "high", "low", "close", "volume", "last_event")
 
 
+def counted(stream: DataFrame, name: str) -> DataFrame:
+    """The same rows of candles; each batch's progress carries how many there were, how many invalid, and the latest ts, under `name`.
+
+    With inputRowsPerSecond and the state rows of Spark's own progress events this is what a metrics page needs.
+    """
+    return stream.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(~is_valid()).alias("invalid"), F.max("ts").alias("latest_ts"))
+
+
 def store_candles(stream: DataFrame, path: str) -> None:
     """Write the valid candles of a stream to cold storage at `path`/candles, the others with their fault to `path`/rejected.
 
@@ -69,7 +78,7 @@ def store_candles(stream: DataFrame, path: str) -> None:
             part.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
         batch.unpersist()
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+    query = counted(stream, "candles").writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
     query.trigger(availableNow=True).start().awaitTermination()
 
 

@@ -34,3 +34,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["symbol", "n", "seq", "ts", "side", "short_sma", "long_sma"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_sql_views_and_functions(spark):
+    from barline.plans import views
+
+    views.register(spark, SF)
+    assert spark.sql("SELECT count(*) FROM bars WHERE symbol = 'click' AND low <= high").first()[0] > 0
+    row = spark.sql("SELECT price_key(1.5D), key_price(150000000), store_key('btc', '1m'), signed_qty('S', 2D), unrealized_pnl(-1D, 100D, 90D)").first()
+    assert tuple(row) == (150_000_000, 1.5, "BTC:1m", -2.0, 10.0)

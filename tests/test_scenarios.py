@@ -376,3 +376,29 @@ def test_scalars(spark):
 def test_walk_is_repeatable(spark):
     a, b = (synthetic.walk_candles(spark, 50).collect() for _ in range(2))
     assert a == b and all(r["low"] <= min(r["open"], r["close"]) and r["high"] >= max(r["open"], r["close"]) for r in a)
+
+
+def test_options():
+    from barline.functions.options import StoreOptions, StrategyOptions
+
+    assert StoreOptions.from_hardware(10, 4 << 20).ring_capacity == 2912
+    assert StoreOptions.from_hardware(0, 1 << 10, 9.0).ring_capacity == 256
+    assert StrategyOptions.from_settings({"SMA_SHORT": "5", "SMA_QTY": "x"}) == StrategyOptions(short=5)
+
+
+def test_stream_state_goes_on_over_batches(spark, tmp_path):
+    """Two runs over one checkpoint give what one pass over all rows gives."""
+    from barline.streaming import live
+
+    rng = random.Random(2)
+    rows = candles(spark, [("A", t, {"close": float(rng.randrange(1, 9))}) for t in range(120)])
+    want = sorted(map(tuple, indicators.sma_crossover(rows, 3, 5).collect()))
+    out = f"file://{tmp_path}/out"
+    for part in ("seq < 50", "seq >= 50"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = live.crossovers(live.counted(spark.readStream.schema(schema.CANDLE).parquet(f"file://{tmp_path}/in"), "c"), 3, 5)
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress["observedMetrics"]["c"]["invalid"] == 0
+    got = spark.read.schema(live.CROSSING).parquet(out)
+    assert sorted(map(tuple, got.collect())) == want and want
