@@ -53,11 +53,11 @@ class Model:
         self.held = []
         total = self.seen.sum()
         free = BASE - IDS
-        self.f0 = np.floor(self.seen * (free / total)).astype(np.int64) + 1 if total else np.ones(IDS, np.int64)
+        self.f0 = np.floor(self.seen * (free / total)).astype(np.int32) + np.int32(1) if total else np.ones(IDS, np.int32)
         self.f0[self.seen.argmax()] += BASE - self.f0.sum()
-        self.c0 = np.cumsum(self.f0) - self.f0
+        self.c0 = np.cumsum(self.f0, dtype=np.int32) - self.f0
         if self.spread:
-            self.slot = np.repeat(np.arange(IDS, dtype=np.int64), self.f0)
+            self.slot = np.repeat(np.arange(IDS, dtype=np.uint16), self.f0)
 
     def _weigh(self) -> None:
         if self.outcomes:
@@ -65,9 +65,9 @@ class Model:
             self.right += np.bincount(np.concatenate(self.outcomes), minlength=3 * size).reshape(3, size)
         self.outcomes = []
         share = self.right / self.right.sum(axis=0)
-        self.w0 = np.clip((share[2] * (TOTAL >> BASE_BITS)).astype(np.int64), 1, (TOTAL >> BASE_BITS) - 1)
+        self.w0 = np.clip((share[2] * (TOTAL >> BASE_BITS)).astype(np.int32), 1, (TOTAL >> BASE_BITS) - 1)
         free = TOTAL - (self.w0 << BASE_BITS)
-        self.w2 = (free * (share[0] / (share[0] + share[1]))).astype(np.int64)
+        self.w2 = (free * (share[0] / (share[0] + share[1]))).astype(np.int32)
         self.w1 = free - self.w2
 
     def predict(self) -> None:
@@ -119,9 +119,9 @@ def encode(ids: np.ndarray) -> bytes:
         size = model.a0 * model.f0[now] + model.a1 * hit1 + model.a2 * hit2
         unit = width >> _PART
         before = low
-        low = low + unit * start.view(np.uint64)
+        low = low + unit * start.astype(np.uint64)
         _carry(words, used, np.flatnonzero(low < before))
-        width = unit * size.view(np.uint64)
+        width = unit * size.astype(np.uint64)
         out = np.flatnonzero(width < _LOW)
         words[out, used[out]] = low[out] >> _32
         used[out] += 1
@@ -174,28 +174,27 @@ def decode(block: bytes) -> np.ndarray:
     for step in range(steps):
         model.predict()
         unit = width >> _PART
-        slot = np.minimum(value // unit, np.uint64(TOTAL - 1)).view(np.int64)
-        swap = model.p2 < model.p1
-        pa, pb = np.where(swap, model.p2, model.p1), np.where(swap, model.p1, model.p2)
-        wa, wb = np.where(swap, model.a2, model.a1), np.where(swap, model.a1, model.a2)
-        same = pa == pb
-        wa, wb = np.where(same, wa + wb, wa), np.where(same, 0, wb)
-        rest = slot
+        slot = np.minimum(value // unit, np.uint64(TOTAL - 1)).astype(np.int32)
+        pa, pb = np.minimum(model.p1, model.p2), np.maximum(model.p1, model.p2)
+        both = model.a1 + model.a2
+        wa = np.where(pa == pb, both, np.where(pa == model.p1, model.a1, model.a2))
+        wb = both - wa
+        # What the named ids have beyond order 0 is taken out, the lower one first; what is left is a place in order 0.
         starts = model.a0 * model.c0[pa]
         ends = starts + model.a0 * model.f0[pa] + wa
-        in_a = (rest >= starts) & (rest < ends)
-        rest = np.where(rest >= ends, rest - wa, rest)
+        in_a = (slot >= starts) & (slot < ends)
+        rest = slot - wa * (slot >= ends)
         starts = model.a0 * model.c0[pb]
         ends = starts + model.a0 * model.f0[pb] + wb
         in_b = (rest >= starts) & (rest < ends)
-        rest = np.where(rest >= ends, rest - wb, rest)
-        part = np.minimum((rest / model.a0).astype(np.int64), BASE - 1)  # exact: both are below 2 ** 26
-        now = np.where(in_a, pa, np.where(in_b, pb, model.slot[part]))
+        rest -= wb * (rest >= ends)
+        part = np.minimum((rest / model.a0).astype(np.int32), BASE - 1)  # exact: both are below 2 ** 26
+        now = np.where(in_a, pa, np.where(in_b, pb, model.slot[part])).astype(np.int64)
         hit1, hit2 = model.p1 == now, model.p2 == now
         start = model.a0 * model.c0[now] + model.a1 * (model.p1 < now) + model.a2 * (model.p2 < now)
         size = model.a0 * model.f0[now] + model.a1 * hit1 + model.a2 * hit2
-        value = value - unit * start.view(np.uint64)
-        width = unit * size.view(np.uint64)
+        value = value - unit * start.astype(np.uint64)
+        width = unit * size.astype(np.uint64)
         short = np.flatnonzero(width < _LOW)
         value[short] = (value[short] << _32) | word(short)
         width[short] <<= _32

@@ -34,9 +34,9 @@ class ByteLevelIds:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit into 16 bits")
-        self.first: dict[str, bytes] = {}  # words at the start of a line
-        self.later: dict[str, bytes] = {}  # words after a space
-        self.before: dict[int, dict[str, bytes]] = {0: {}, 1: {}}  # what these tables held until they were full
+        #: Ids by word; a word at the start of a line has the newline before it, any other a space that is not written.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what the table held until it was full
         self.signs: dict[str, bytes] = {}  # runs of signs after letters
         self.newline = self._whole(["\n"])[0]
 
@@ -49,21 +49,25 @@ class ByteLevelIds:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], space: int) -> None:
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) > REMEMBERED:  # words that come up again are taken over from the old table
+            self.before, self.known = self.known, {}
+        known = self.known
         words = words.difference(known)
-        old = self.before[space]
-        again = words.intersection(old)
-        known.update(zip(again, map(old.__getitem__, again), strict=True))
+        again = words.intersection(self.before)
+        known.update(zip(again, map(self.before.__getitem__, again), strict=True))
         words -= again
         signed: list[tuple[str, str, str]] = []
         for w in words:
             letters = w.rstrip(_SIGNS)
-            if len(letters) < len(w) and letters.isalpha():
+            if len(letters) < len(w) and letters.lstrip("\n").isalpha():
                 signed.append((w, letters, w[len(letters) :]))
-        words.difference_update(w for w, _, _ in signed)
+        words.difference_update([w for w, _, _ in signed])
         words.update({letters for _, letters, _ in signed}.difference(known))
-        listed = list(words)
-        known.update(zip(listed, self._whole([" " * space + w for w in listed]), strict=True))
+        later = [w for w in words if w[0] != "\n"]
+        heads = [w for w in words if w[0] == "\n"]
+        known.update(zip(later, self._whole([" " + w for w in later]), strict=True))
+        known.update(zip(heads, [self.newline + ids for ids in self._whole([w[1:] for w in heads])], strict=True))
         if len(self.signs) > REMEMBERED:
             self.signs.clear()
         runs = list({run for _, _, run in signed}.difference(self.signs))
@@ -72,27 +76,17 @@ class ByteLevelIds:
             known[w] = known[letters] + self.signs[run]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        plain = [all(map(all, words)) and not _other_blank(t) for t, words in zip(texts, lines, strict=True)]
-        some = [words for words, ok in zip(lines, plain, strict=True) if ok]
-        # All words of these texts must stay known until the texts are put together.
-        heads, tails = {line[0] for words in some for line in words}, set()
-        for words in some:
-            for line in words:
-                tails.update(line[1:])
-        # A full table becomes the old one, and words that come up again are taken over from there.
-        if len(self.first) > REMEMBERED:
-            self.before[0], self.first = self.first, {}
-        if len(self.later) > REMEMBERED:
-            self.before[1], self.later = self.later, {}
-        self._learn(self.first, heads, 0)
-        self._learn(self.later, tails, 1)
-        odd = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
-        first, later, newline = self.first, self.later, self.newline
-        return [
-            newline.join([first[line[0]] + b"".join(map(later.__getitem__, line[1:])) for line in words]) if ok else next(odd)
-            for words, ok in zip(lines, plain, strict=True)
-        ]
+        # A newline begins the first line too, and its id is taken off again.
+        lists = [("\n" + t.replace("\n", " \n")).split(" ") if _is_plain(t) else None for t in texts]
+        # All words of these texts stay known until the texts are put together.
+        words: set[str] = set()
+        for each in lists:
+            if each:
+                words.update(each)
+        self._learn(words)
+        odd = iter(self._whole([t for t, each in zip(texts, lists, strict=True) if each is None]))
+        get = self.known.__getitem__
+        return [next(odd) if each is None else b"".join(map(get, each))[2:] for each in lists]
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -102,6 +96,8 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def _other_blank(text: str) -> bool:
-    """White space other than single spaces and newlines, by the widest definition."""
-    return bool(_OTHER.search(text))
+def _is_plain(text: str) -> bool:
+    """Lines of words with one space between them; no empty lines and no other white space."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER.search(text))
