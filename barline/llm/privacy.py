@@ -31,9 +31,15 @@ _OCTET = "(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)"
 _TITLE = "(?:Mr|Mrs|Ms|Miss|Mister|Sir|Madam|Herrn?|Frau|M|Mme|Monsieur|Madame|Mlle|Sr|Sra|Srta|Señor|Señora|Señorita|Don|Doña|Господин|Госпожа|Κύριος|Κυρία)"
 _FEMALE = "^(?:Mrs|Ms|Miss|Madam|Frau|Mme|Madame|Mlle|Sra|Srta|Señora|Señorita|Doña|Госпожа|Κυρία)\\b"
 _CAPITAL = "\\p{Lu}[\\p{Ll}]+(?:[-'’]\\p{Lu}[\\p{Ll}]+)?"
+#: Letters that words are written with side by side: before other signs of a mail address they are the sentence, alone they are its local part.
+_UNSPACED = "\\u0e00-\\u0eff\\u1000-\\u109f\\u1100-\\u11ff\\u1780-\\u17ff\\u3005-\\u30ff\\u3130-\\u318f\\u3400-\\u9fff\\uac00-\\ud7af\\uf900-\\ufaff\\x{20000}-\\x{3ffff}"
+_SPACED = f"[\\p{{L}}\\p{{M}}&&[^\\x00-\\x7f{_UNSPACED}]]"
+_ALONE = f"[\\p{{L}}\\p{{M}}&&[{_UNSPACED}]]"
+_LOCAL = f"(?<![A-Za-z0-9._%+-])(?<!{_SPACED})(?:[A-Za-z0-9._%+-]++|{_SPACED}++)++"
+_DOMAIN = "@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
 #: Alternatives in this order; a mention is the leftmost match. Possessive runs keep the matching linear.
 PATTERNS = (
-    ("email", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\\.[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    ("email", f"{_LOCAL}{_DOMAIN}"),
     ("ip", f"(?<![\\d.])(?:{_OCTET}\\.){{3}}{_OCTET}(?!\\d|\\.\\d)"),
     ("iban", "(?<![A-Za-z0-9])[A-Z]{2}\\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])"),
     ("phone", "(?<![\\w+])\\+\\d{1,3}[ .-]?(?:\\(\\d{1,5}\\)[ .-]?)?\\d{2,5}(?:[ .-]?\\d{2,5}){1,4}(?!\\d)|(?<![\\w(])\\(\\d{3}\\) ?\\d{3}-\\d{4}(?!\\d)|(?<![\\d-])\\d{3}-\\d{3}-\\d{4}(?![\\d-])"),
@@ -41,8 +47,13 @@ PATTERNS = (
     ("ssn", "(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])"),
     ("name", f"(?<![\\p{{L}}\\p{{N}}]){_TITLE}\\.? {_CAPITAL}(?: {_CAPITAL}){{0,2}}"),
 )
-#: Nothing starts right after a letter, which is most places of a text and is looked at once for all alternatives.
-PATTERN = "(?<!\\p{L})(?:" + "|".join(f"(?:{p})" for _, p in PATTERNS) + ")"
+#: What every alternative of a group demands is looked at once for them: letters and mails never start after an ASCII letter
+#: or digit, numbers start with a digit or one of two signs. Only mails can start where numbers do; they come first, as above.
+_NUMBERS = ("ip", "phone", "card", "ssn")
+PATTERN = "|".join(
+    f"{common}(?:" + "|".join(f"(?:{p})" for kind, p in PATTERNS if (kind in _NUMBERS) == numbers) + ")"
+    for common, numbers in (("(?<![A-Za-z0-9])", False), ("(?=[0-9+(])", True))
+) + f"|(?=[{_UNSPACED}])(?<!{_ALONE}){_ALONE}++{_DOMAIN}"
 
 #: Given names by script and gender, and parts that family names are made of.
 GIVEN = {
@@ -135,7 +146,8 @@ def drawn(key: str, kind: Column, what: Column, draw: Column) -> Column:
 
 
 def _drawn(key: str, kind: Column, what: Column, draw: Column, digest: Column) -> Column:
-    local, domain = F.substring_index(what, "@", 1), F.substring_index(what, "@", -1)
+    # All letters of the local part are redrawn, those beyond ASCII as ASCII ones.
+    local, domain = F.regexp_replace(F.substring_index(what, "@", 1), "[^\\x00-\\x7F]", "x"), F.substring_index(what, "@", -1)
     top = F.regexp_extract(domain, "(?:^|\\.)example\\.(?:com|net|org)$|\\.[a-z]+$", 0)  # reserved names stay reserved
     # A domain has one surrogate for all its addresses; only the local part is drawn again.
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
@@ -183,7 +195,7 @@ def _written(mention: Column, kind: Column, surrogate: Column) -> Column:
     taken = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), "[^A-Z0-9]", ""))
     spelled = F.array_join(F.transform(signs, lambda c, i: F.when(c.rlike("^[A-Z0-9]$"), F.substring(surrogate, taken(i) + 1, F.lit(1))).otherwise(c)), "")
     title = F.regexp_extract(mention, f"^{_TITLE}\\.? ", 0)
-    case = lambda c, i: F.when(F.substring(mention, i + 1, F.lit(1)).rlike("^[A-Z]$"), F.upper(c)).otherwise(c)
+    case = lambda c, i: F.when(F.substring(mention, i + 1, F.lit(1)).rlike("^\\p{Lu}$"), F.upper(c)).otherwise(c)
     email = F.array_join(F.transform(F.split(surrogate, ""), case), "")
     return (
         F.when(kind == "name", F.concat(title, F.initcap(F.substring(surrogate, F.lit(3), F.length(surrogate)))))

@@ -405,6 +405,24 @@ def test_surrogates_keep_form_and_tell_people_apart(spark):
     assert privacy.replace_personal_data(table(spark, rows).limit(0), "key").count() == 0
 
 
+def test_personal_data_next_to_letters(spark):
+    found = ["联系foo@bar.com", "电话+86 138 0013 8000", "卡号4111111111111111", "ип10.0.0.1", "SSN123-45-6789", "tel555-123-4567", "v10.0.0.1", "ипDE89 3704 0044 0532 0130 00"]
+    mails = ["müller@firma.de", "josé.peña@correo.es", "иван@pochta.ru", "张三@bar.com", "jose\u0301@correo.es"]
+    rows = list(enumerate([*found, *mails, "aä" * 20000, "x张三@bar.com", "Ärger@firma.de ärger@firma.de", "foo@bar.com"]))
+    got = {r["doc_id"]: r for r in privacy.replace_personal_data(table(spark, rows), "key").collect()}
+    kinds = ["email", "phone", "card", "ip", "ssn", "phone", "ip", "iban"] + ["email"] * len(mails)
+    for i, kind in enumerate(kinds):
+        assert [k for k in privacy.KINDS if got[i][f"n_{k}"]] == [kind] and got[i][f"n_{kind}"] == 1, rows[i]
+        tail = re.search(r"[ -~]+$", rows[i][1])[0]
+        assert tail not in got[i]["text"], rows[i]
+    assert got[0]["text"] == "联系" + got[len(rows) - 1]["text"]
+    for i, mail in enumerate(mails, len(found)):
+        assert re.fullmatch(r"[a-z.]+@[a-z]+\.[a-z]+", got[i]["text"]) and got[i]["text"].split("@")[0] != mail.split("@")[0]
+    a, b = got[len(rows) - 2]["text"].split()
+    assert got[len(rows) - 4]["text"] == rows[-4][1] and "张三" not in got[len(rows) - 3]["text"]
+    assert a[0].isupper() and a.lower() == b
+
+
 # ---- 8 ----
 
 
