@@ -1,9 +1,10 @@
-"""Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
+"""Mixing sources to target weights by a low-discrepancy schedule of blocks.
 
-The mix is a row of slots of equally many words. Slot i has the point i * (golden ratio) modulo 1; the point's place in
-the cumulative target shares names the source, so every stretch of the mix is close to the targets. The slots of a
-source are ranked; rank r takes block r modulo the number of blocks, where a source's documents, shuffled by a hash,
-are laid end to end and cut into blocks. Texts are not moved: all is worked out from ids and sizes.
+The mix is a row of slots. Slot i has the point i * (golden ratio) modulo 1; the point's place in the cumulative shares
+names the source, so every stretch of the mix is close to the targets. Shares follow the targets, but no source has so
+little that it lacks slots. The slots of a source are ranked; a source has a block length of its own, its target dealt
+over its slots, and rank r takes block r of its documents, which are shuffled by a hash and laid end to end as often as
+needed. The last block ends where the target does. Texts are not moved: all is worked out from ids and sizes.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql.window import Window
 
 from barline.llm.tables import free_name, saved
 
-#: Slots of the mix at most; a block has at least one word.
+#: Slots of the mix, fewer if there are fewer words, more if there are so many sources; a block has at least one word.
 SLOTS = 1 << 18
+#: Slots that a source's share is raised to before all are scaled to one.
+LEAST_SLOTS = 64
 WEIGHTS = (5, 2, 1)
 #: How often a source may be repeated.
 REPEATS = 3
@@ -27,12 +30,13 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame) -> DataFrame:
+def targets(sizes: DataFrame, slots: int) -> DataFrame:
     """k, source, source_size, target, low, high for the sources of sizes (source, size): a row per source.
 
     Sources by code point, null last, weigh 5, 2, 1, repeating. Targets share the sum of all sizes by weight but stop
     at REPEATS times the source's size, the rest being shared by weight again: target = least(cap, level * weight),
-    with the level at which the targets add up. low and high bound the source's part of the points below 2 ** 32.
+    with the level at which the targets add up. low and high bound the source's part of the points below 2 ** 32, which
+    is in proportion to its target, raised to that of LEAST_SLOTS of the slots.
     """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     named = sources.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -47,8 +51,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     # The first source in this order that the level does not bring to its cap sets the level.
     chosen = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
     filled = leveled.withColumn("target", F.least(F.col("cap").cast("double"), chosen * F.col("weight")))
-    upto = F.sum("target").over(Window.orderBy("k"))
-    total = F.sum("target").over(everything)
+    least = F.sum("target").over(everything) * (LEAST_SLOTS / slots)
+    filled = filled.withColumn("part", F.when(F.col("target") > 0, F.greatest("target", least)).otherwise(0.0))
+    upto = F.sum("part").over(Window.orderBy("k"))
+    total = F.sum("part").over(everything)
     bound = lambda x: F.coalesce(F.floor(F.try_divide(x, total) * float(1 << 32)), F.lit(0)).cast("long")
     last = F.row_number().over(Window.orderBy(F.col("k").desc())) == 1
     high = F.when(last, F.lit(1 << 32)).otherwise(bound(upto))
@@ -90,8 +96,8 @@ def laid_out(sized: DataFrame, documents: int) -> DataFrame:
 def mixed_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """The rows of docs, each as often as the mix takes its words, rounded; all columns are kept.
 
-    The blocks that are taken once more than others are the first of a source, so at most one document of a source is
-    taken in part and rounding keeps the targets.
+    A source's documents are taken in order up to its target, so at most one document of a source is taken in part and
+    rounding keeps the targets.
     """
     row, times = free_name(docs, "_row"), free_name(docs, "_times")
     numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
@@ -105,28 +111,27 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs (doc_id, text, source; others are ignored).
 
     size counts words, null and blank texts have none and are taken 0 times. A document gives the words that it has
-    in each block, as often as the schedule takes the block, REPEATS times at most. Repeated rows are documents of
+    in the blocks of the schedule, REPEATS times at most; a source's add up to its target, rounded, in a corpus of any size. Repeated rows are documents of
     their own; a null source is a source, a null doc_id is ordered first. An empty table gives an empty result.
     """
     sized = saved(
         docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", size_of(F.col("text")).alias("size")), "sizes"
     )
-    documents, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    block = max(1, -(-words // slots))
-    sources = saved(targets(sized), "targets")
+    documents, words, names = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.countDistinct("source")).first()
+    slots = max(min(words, slots), LEAST_SLOTS * (names + 1))
+    sources = saved(targets(sized, slots), "targets")
     named = sized.join(sources.select("k", "source"), sized["source"].eqNullSafe(sources["source"])).select("row_id", "doc_id", "k", "size")
-    blocks = F.ceil(F.col("source_size") / block).cast("long")
-    ranked = schedule(sources, -(-words // block)).join(sources.select("k", blocks.alias("blocks")), "k")
-    taken = (
-        ranked.where(F.col("rank") < REPEATS * F.col("blocks"))
-        .groupBy("k", (F.col("rank") % F.col("blocks")).alias("block"))
-        .agg(F.count("*").alias("times"))
-    )
     laid = saved(laid_out(named, documents), "laid")
-    end = F.col("start") + F.col("size")
-    pieces = laid.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}L"), F.expr(f"(start + size - 1) div {block}L"))))
-    overlap = F.least(end, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    got = pieces.join(taken, ["k", "block"]).groupBy("row_id").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    ranked = saved(schedule(sources, slots).select("k", "rank"), "schedule")
+    goal = F.round("target").cast("long").alias("goal")
+    lengths = sources.join(ranked.groupBy("k").agg(F.count("*").alias("slots")), "k").select("k", "source_size", "slots", goal)
+    lengths = lengths.withColumn("length", F.greatest(F.lit(1), F.ceil(F.col("goal") / F.col("slots"))).cast("long"))
+    passes = laid.where("size > 0").join(lengths, "k").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    passes = passes.withColumn("first", F.col("start") + F.col("pass") * F.col("source_size")).where("first < goal")
+    passes = passes.withColumn("end", F.least(F.col("first") + F.col("size"), "goal"))
+    pieces = passes.withColumn("rank", F.explode(F.expr("sequence(first div length, (end - 1) div length)")))
+    overlap = F.least("end", (F.col("rank") + 1) * F.col("length")) - F.greatest("first", F.col("rank") * F.col("length"))
+    got = pieces.withColumn("words", overlap).join(ranked, ["k", "rank"]).groupBy("row_id").agg(F.sum("words").alias("taken"))
     return (
         laid.join(sources.select("k", "source_size", "target"), "k")
         .join(got, "row_id", "left")

@@ -360,6 +360,25 @@ def test_mix_of_odd_sources(spark):
     assert all(abs(copies[i] - t) <= 1 for i, t in taken.items())
 
 
+def test_mix_gives_each_source_its_own_target(spark):
+    rng = random.Random(9)
+    sizes = {"a": 90000, "b": 7, "c": 400, "d": 60000, "e": 30, "f": 2500, None: 50}
+    rows = []
+    for source, left in sizes.items():
+        while left:
+            n = min(left, rng.randrange(1, 700))
+            rows.append((len(rows), " ".join(["w"] * n), None, source))
+            left -= n
+    total = Counter(sizes)
+    target = levels(total)
+    for slots in (1, 64, mixing.SLOTS):
+        taken = Counter()
+        for r in mixing.mix(table(spark, rows), slots).collect():
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[rows[r["doc_id"]][3]] += r["taken"]
+        assert all(abs(taken[s] - target[s]) <= 0.5001 for s in sizes), (slots, taken, target)
+
+
 # ---- 7 ----
 
 
