@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare word n-grams as seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: word n-grams as seeds, then Smith-Waterman alignment of words.
 
-One pass over the texts counts in how many documents each n-gram of the benchmark occurs. Of every WINDOW consecutive
-n-grams of an item the rarest becomes a seed, so each stretch of an item has one, whatever is common in the corpus.
-A second pass finds the seeds in the texts; where enough of them lie on near diagonals, the stretch is aligned with
-the item. Both passes need nothing but the items, so texts are never moved.
+Every n-gram of an item is a seed. One pass finds the seeds in the texts; where the stretch around seeds on near
+diagonals holds enough of the item's words to reach the least score at all, it is aligned with the item. SEED_WORDS is 2
+because a copy with every third word replaced still reaches LEAST and has no longer run. The pass needs nothing but the
+items, so texts are never moved.
 
-The benchmark is taken in slices of a bounded number of words, each sent to all executors and with passes of its own,
+The benchmark is taken in slices of a bounded number of words, each sent to all executors and with a pass of its own,
 so its size has no limit.
 """
 
@@ -13,17 +13,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from barline.llm.shingles import texts_of
 
-SEED_WORDS = 3
-WINDOW = 4
+SEED_WORDS = 2
+#: Words of the shortest item that is looked for.
+ITEM_WORDS = 3
 #: Words of the benchmark per slice.
 SLICE_WORDS = 2_000_000
 #: How far apart the diagonals of seeds of one copy may be, in words.
@@ -55,10 +56,18 @@ class Items:
     def of(cls, rows: list[tuple[int, bytes]]) -> Items:
         vocabulary: dict[bytes, int] = {}
         words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for _, t in rows]
-        made = [cls.grams_of(w) for w in words]
+        made = [cls.grams_of(w if len(w) >= ITEM_WORDS else w[:0]) for w in words]
         every = np.concatenate(made) if made else np.empty(0, np.int64)
         return cls([r[0] for r in rows], vocabulary, words, *cls._placed(every, [np.arange(len(m)) for m in made]))
 
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        return np.array([len(w) for w in self.words], np.int64)
+
+    @cached_property
+    def distinct(self) -> list[frozenset[int]]:
+        return [frozenset(w.tolist()) for w in self.words]
+
     @staticmethod
     def _placed(every: np.ndarray, at: list[np.ndarray]):
         item = np.repeat(np.arange(len(at)), [len(a) for a in at])
@@ -92,18 +101,6 @@ class Items:
         hit = self.grams[index] == code[at]
         return at[hit], index[hit]
 
-    def rarest(self, frequency: np.ndarray) -> Items:
-        """The same items with only their seeds left."""
-        made, at = [], []
-        for words in self.words:
-            code = self.grams_of(words)
-            rank = frequency[np.searchsorted(self.grams, code)] if len(code) else np.empty(0)
-            picks = sorted({min(range(i, min(i + WINDOW, len(code))), key=lambda k: (rank[k], code[k])) for i in range(max(1, len(code) - WINDOW + 1))}) if len(code) else []
-            at.append(np.array(picks, np.int64))
-            made.append(code[at[-1]])
-        every = np.concatenate(made) if made else np.empty(0, np.int64)
-        return Items(self.item_ids, self.vocabulary, self.words, *self._placed(every, at))
-
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Best local score and the end (exclusive) of its stretch in `text`. Words of -1 match nothing."""
@@ -121,6 +118,15 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def _bound(item: np.ndarray, text: np.ndarray) -> int:
+    """At least the score of align: the best stretch of the item, if a word scores MATCH where the text has it at all and else costs a sign."""
+    held, run, best = set(text.tolist()), 0, 0
+    for word in item.tolist():
+        run = max(0, run + (MATCH if word in held else max(MISMATCH, GAP)))
+        best = max(best, run)
+    return best
+
+
 def matches(items: Items, words: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
     """(item_id, score, first word, word after the last) of the best copy of each item in a text."""
     at, index = items.found(words)
@@ -130,14 +136,23 @@ def matches(items: Items, words: np.ndarray, least: float) -> list[tuple[int, fl
     many = starts[index + 1] - starts[index]
     flat = np.repeat(starts[index], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     hits = np.stack([of[flat], np.repeat(at, many) - place[flat], place[flat]])
+    # No alignment has a score above MATCH for each word of the item that its stretch holds.
+    known = np.concatenate([[0], np.cumsum(words >= 0)])
+    sizes = items.sizes[hits[0]]
+    ends = np.minimum(hits[1] + sizes + DRIFT, len(words))
+    hits = hits[:, known[ends] - known[np.maximum(hits[1] - DRIFT, 0)] >= least * sizes]
+    if not hits.shape[1]:
+        return []
     hits = hits[:, np.lexsort(hits[::-1])]
     breaks = np.flatnonzero((np.diff(hits[0]) != 0) | (np.diff(hits[1]) > DRIFT)) + 1
     best: dict[int, tuple[int, float, int, int]] = {}
-    for item, diagonal, seed in (hits[:, a:b] for a, b in zip([0, *breaks], [*breaks, hits.shape[1]], strict=True)):
+    plain = words.tolist()
+    for item, diagonal in (hits[:2, a:b] for a, b in zip([0, *breaks], [*breaks, hits.shape[1]], strict=True)):
         own = items.words[item[0]]
-        if len(set(seed.tolist())) < min(2, len(own) // (2 * SEED_WORDS)):
-            continue
         low, high = max(0, diagonal[0] - DRIFT), diagonal[-1] + len(own) + DRIFT
+        distinct = items.distinct[item[0]]
+        if len(distinct.intersection(plain[low:high])) + len(own) - len(distinct) < least * len(own) or _bound(own, words[low:high]) < least * MATCH * len(own):
+            continue
         score, end = align(own, words[low:high])
         share = score / (MATCH * len(own))
         if share >= least and share > best.get(item[0], (0, 0.0))[1]:
@@ -159,35 +174,17 @@ def _slices(benchmark: DataFrame) -> Iterator[Items]:
         yield Items.of(rows)
 
 
-def _frequency(docs: DataFrame, items: Items) -> np.ndarray:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
-        total = np.zeros(len(items.grams), np.int64)
-        for batch in batches:
-            for text in texts_of(batch):
-                total[np.unique(items.found(items.numbers(text))[1])] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    counted = docs.select("text").mapInArrow(step, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(items.grams), np.int64)
-    out[counted.column("gram").to_numpy()] = counted.column("n").to_numpy()
-    return out
-
-
 def find_copies(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word: items of benchmark (item_id, text) copied in docs (doc_id, text).
 
     One row per document and item, for the best alignment that reaches `least` of the item's own score; score is that
-    share. Words are counted from 0. Null, empty and wordless texts match nothing; items of fewer than SEED_WORDS
+    share. Words are counted from 0. Null, empty and wordless texts match nothing; items of fewer than ITEM_WORDS
     words are skipped; items with equal texts are all reported; repeated documents are reported each time.
     """
     spark, kinds = docs.sparkSession, "doc_id long, item_id long, score double, first_word long, end_word long"
     out = spark.createDataFrame([], kinds)
     for items in _slices(benchmark):
-        sent = spark.sparkContext.broadcast(items.rarest(_frequency(docs, items)))
+        sent = spark.sparkContext.broadcast(items)
 
         def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
@@ -210,7 +207,7 @@ def without_copies(docs: DataFrame, benchmark: DataFrame, least: float = LEAST)
     """
     spark, out = docs.sparkSession, docs
     for items in _slices(benchmark):
-        sent = spark.sparkContext.broadcast(items.rarest(_frequency(docs, items)))
+        sent = spark.sparkContext.broadcast(items)
 
         def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value

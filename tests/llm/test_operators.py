@@ -550,6 +550,22 @@ def test_benchmark_in_slices(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_copies(table(spark, rows), bench).collect()} == {(i, i) for i in range(6)}
 
 
+def test_edited_copies_of_short_items_are_found():
+    rng = random.Random(14)
+    for n in (12, 14, 20, 40):
+        for step in (3, 4, 5):
+            items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(n)).encode()) for i in range(40)]
+            known = decontaminate.Items.of(items)
+            for i, text in items:
+                words = text.split()
+                words[step - 1 :: step] = [b"edited"] * len(words[step - 1 :: step])
+                around = b" ".join(f"w{rng.randrange(400)}".encode() for _ in range(30))
+                copy = known.numbers(around + b" " + b" ".join(words) + b" " + around)
+                share = decontaminate.align(known.words[i], copy)[0] / (2 * n)
+                found = {m[0]: m[1] for m in decontaminate.matches(known, copy, decontaminate.LEAST)}
+                assert found.get(i) == (pytest.approx(share) if share >= decontaminate.LEAST else None), (n, step, share)
+
+
 # ---- 10 ----
 
 
