@@ -2,7 +2,8 @@
 
 The pre-tokenizer of such files starts a new piece at every space before a non-space, and cuts runs of letters from
 other signs. So the ids of a text made of lines of words with one space between them are the ids of the words put
-together, and a word that ends in a sign is its letters and the sign. Texts of another shape are encoded as one.
+together, and a word of letters and signs after them is one piece of letters and one of signs. Such pieces go straight
+to the library's BPE model; other words, and texts of another shape, go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -13,32 +14,57 @@ import sys
 from array import array
 from functools import lru_cache
 
-#: Words in a table before it is set aside.
-REMEMBERED = 1 << 18
+#: Words in a table before it is set aside; two tables are held.
+REMEMBERED = 1 << 19
 _OTHER = re.compile(r"[^\S \n]")
-#: Signs that never join the letters before them; the apostrophe does.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Signs that never join the letters before them, as the apostrophe does.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+class _Words(dict):
+    """word -> ids, filled on first use. A full table is set aside, and words that come up again are taken over from it."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class ByteLevelIds:
-    """encode(texts) gives for each text its ids as little-endian 16-bit integers.
+    """encode(texts) gives for each text its ids as little-endian 16-bit integers. Only for files with ids below 65536.
 
-    The strings of special tokens in a text are ordinary text. Only for files with ids below 65536.
+    The ids are those of the library's defaults without added special tokens: the string of a special token in a text
+    is that token. With `special_as_text` such strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit into 16 bits")
-        #: Ids by word; a word at the start of a line has the newline before it, any other a space that is not written.
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # what the table held until it was full
-        self.signs: dict[str, bytes] = {}  # runs of signs after letters
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.shown = {n: shown(chr(n))[0][0] for n in (32, *range(0xC0, 0x250))}  # how the model spells these signs
+        self.space = self.shown[32]
         self.newline = self._whole(["\n"])[0]
+        self.signs = _Words(lambda run: self._whole([run])[0])
+        #: A word at the start of a line has the newline before it, any other a space that is not written.
+        self.known = _Words(self._word)
 
     @classmethod
     @lru_cache(maxsize=1)
@@ -49,44 +75,39 @@ class ByteLevelIds:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:  # words that come up again are taken over from the old table
-            self.before, self.known = self.known, {}
-        known = self.known
-        words = words.difference(known)
-        again = words.intersection(self.before)
-        known.update(zip(again, map(self.before.__getitem__, again), strict=True))
-        words -= again
-        signed: list[tuple[str, str, str]] = []
-        for w in words:
-            letters = w.rstrip(_SIGNS)
-            if len(letters) < len(w) and letters.lstrip("\n").isalpha():
-                signed.append((w, letters, w[len(letters) :]))
-        words.difference_update([w for w, _, _ in signed])
-        words.update({letters for _, letters, _ in signed}.difference(known))
-        later = [w for w in words if w[0] != "\n"]
-        heads = [w for w in words if w[0] == "\n"]
-        known.update(zip(later, self._whole([" " + w for w in later]), strict=True))
-        known.update(zip(heads, [self.newline + ids for ids in self._whole([w[1:] for w in heads])], strict=True))
-        if len(self.signs) > REMEMBERED:
-            self.signs.clear()
-        runs = list({run for _, _, run in signed}.difference(self.signs))
-        self.signs.update(zip(runs, self._whole(runs), strict=True))
-        for w, letters, run in signed:
-            known[w] = known[letters] + self.signs[run]
+    def _word(self, word: str) -> bytes:
+        head = word[0] == "\n"
+        letters = word[1:] if head else word
+        if not letters.isalpha():
+            core = word.rstrip(_SIGNS)
+            if len(core) < len(word) and _LATIN.fullmatch(core, head):
+                return self.known[core] + self.signs[word[len(core) :]]
+        if letters.isascii() and letters.isalpha():
+            spelled = letters if head else self.space + letters
+        elif _LATIN.fullmatch(letters):
+            spelled = (letters if head else " " + letters).translate(self.shown)
+        else:
+            return self.newline + self._whole([word[1:]])[0] if head else self._whole([" " + word])[0]
+        ids = _packed([t.id for t in self.model.tokenize(spelled)])
+        return self.newline + ids if head else ids
+
+    def _is_plain(self, text: str) -> bool:
+        """Lines of words with one space between them; no empty lines, no other white space, no added token's string."""
+        if not text or text[0] in " \n" or text[-1] in " \n":
+            return False
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(a in text for a in self.added):
+            return False
+        return not _OTHER.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # A newline begins the first line too, and its id is taken off again.
-        lists = [("\n" + t.replace("\n", " \n")).split(" ") if _is_plain(t) else None for t in texts]
-        # All words of these texts stay known until the texts are put together.
-        words: set[str] = set()
-        for each in lists:
-            if each:
-                words.update(each)
-        self._learn(words)
-        odd = iter(self._whole([t for t, each in zip(texts, lists, strict=True) if each is None]))
+        plain = [self._is_plain(t) for t in texts]
+        odd = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
         get = self.known.__getitem__
-        return [next(odd) if each is None else b"".join(map(get, each))[2:] for each in lists]
+        # A newline begins the first line too, and its id is taken off again.
+        return [
+            b"".join(map(get, ("\n" + t.replace("\n", " \n")).split(" ")))[len(self.newline) :] if p else next(odd)
+            for t, p in zip(texts, plain, strict=True)
+        ]
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -94,10 +115,3 @@ def _packed(ids: list[int]) -> bytes:
     if sys.byteorder == "big":
         out.byteswap()
     return out.tobytes()
-
-
-def _is_plain(text: str) -> bool:
-    """Lines of words with one space between them; no empty lines and no other white space."""
-    if not text or text[0] in " \n" or text[-1] in " \n":
-        return False
-    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER.search(text))
