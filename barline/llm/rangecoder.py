@@ -26,19 +26,33 @@ STEPS = 1024
 TOTAL_BITS, BASE_BITS = 26, 18
 TOTAL, BASE = 1 << TOTAL_BITS, 1 << BASE_BITS
 SURE = 15  # highest confidence
-PAIR_BITS = 21
+PAIR_BITS = 20
 REBUILD = 64
 _HEAD = struct.Struct("<4sIII")
 _LOW = np.uint64(1 << 32)
 _32 = np.uint64(32)
 _PART = np.uint64(TOTAL_BITS)
+_PAIR = np.array([0x9E3779B1, 0x85EBCA77], np.uint32)
+
+
+def _after(sure: int, hit: bool) -> int:
+    """How sure a context is of its id after a hit or a miss; -1 if it gives the id up."""
+    if hit:
+        return min(sure + 1, SURE)
+    return sure >> 1 if sure > 1 else -1
+
+
+# `take` with a mode is the fastest way to gather; no index is ever out of range.
+
+#: By confidence, and 16 more for a hit: what is added to an entry of a context table that keeps its id.
+_STEP = np.array([_after(at & 15, at > 15) - (at & 15) for at in range(32)], np.int32)
 
 
 class Model:
     """What both directions know before each step. `spread` keeps a slot-to-id table, which only decoding needs."""
 
     def __init__(self, lanes: int, spread: bool):
-        self.c1, self.c2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.c1, self.c2 = np.zeros(lanes, np.intp), np.zeros(lanes, np.uint32)
         # Per context the id that came last, times 16, and how sure that is.
         self.last1, self.last2 = np.zeros(IDS, np.int32), np.zeros(1 << PAIR_BITS, np.int32)
         # Per state: order 2 right, else order 1 right, neither.
@@ -57,11 +71,11 @@ class Model:
         self.f0[self.seen.argmax()] += BASE - self.f0.sum()
         self.c0 = np.cumsum(self.f0, dtype=np.int32) - self.f0
         if self.spread:
-            self.slot = np.repeat(np.arange(IDS, dtype=np.uint16), self.f0)
+            self.slot = np.repeat(np.arange(IDS, dtype=np.int32), self.f0)
 
     def _weigh(self) -> None:
+        size = self.right.shape[1]
         if self.outcomes:
-            size = self.right.shape[1]
             self.right += np.bincount(np.concatenate(self.outcomes), minlength=3 * size).reshape(3, size)
         self.outcomes = []
         share = self.right / self.right.sum(axis=0)
@@ -72,21 +86,35 @@ class Model:
 
     def predict(self) -> None:
         """p1, p2 and the weights of this step, one per lane."""
-        self.at2 = ((self.c2 * 0x9E3779B1 + self.c1 * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - PAIR_BITS)
-        self.g1, self.g2 = self.last1[self.c1], self.last2[self.at2]
+        own = self.c1.astype(np.uint32)
+        pair = self.c2 * _PAIR[0]
+        pair += own * _PAIR[1]
+        pair >>= np.uint32(32 - PAIR_BITS)
+        self.c2, self.at2 = own, pair.astype(np.intp)
+        self.g1, self.g2 = self.last1.take(self.c1, mode="clip"), self.last2.take(self.at2, mode="clip")
         self.p1, self.p2 = self.g1 >> 4, self.g2 >> 4
-        self.state = (((self.g2 & 15) << 5) | ((self.g1 & 15) << 1)) + (self.p1 == self.p2)
-        self.a0, self.a1, self.a2 = self.w0[self.state], self.w1[self.state], self.w2[self.state]
+        self.s1, self.s2 = self.g1 & 15, self.g2 & 15
+        state = self.s2 << 4
+        state += self.s1
+        state <<= 1
+        state += self.p1 == self.p2
+        self.state = state.astype(np.intp)
+        self.a0, self.a1, self.a2 = self.w0.take(self.state, mode="clip"), self.w1.take(self.state, mode="clip"), self.w2.take(self.state, mode="clip")
 
     def learn(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        size = self.right.shape[1]
-        self.outcomes.append(self.state + np.where(hit2, 0, np.where(hit1, size, 2 * size)))
-        new = (ids << 4).astype(np.int32) | 1
-        for table, at, told, hit in ((self.last1, self.c1, self.g1, hit1), (self.last2, self.at2, self.g2, hit2)):
-            sure = told & 15
-            missed = np.where(sure > 1, told - sure + (sure >> 1), new)
-            table[at] = np.where(hit, told + (sure < SURE), missed)
-        self.c2, self.c1 = self.c1, ids
+        """What came in this step; ids as np.intp."""
+        outcome = ((2 - hit1.view(np.int8)) * (1 - hit2.view(np.int8))).astype(np.intp)  # 0, 1, 2
+        outcome *= self.right.shape[1]
+        outcome += self.state
+        self.outcomes.append(outcome)
+        new = ids.astype(np.int32)
+        new <<= 4
+        new |= 1
+        for table, at, told, sure, hit in ((self.last1, self.c1, self.g1, self.s1, hit1), (self.last2, self.at2, self.g2, self.s2, hit2)):
+            sure += hit * np.int32(16)
+            told += _STEP[sure]
+            table[at] = np.where(sure < 2, new, told)
+        self.c1 = ids
         self.held.append(ids)
         self.step += 1
         if self.step % REBUILD == 0 or self.step & (self.step - 1) == 0:
@@ -94,6 +122,18 @@ class Model:
         if self.step % 4 == 0 or self.step < 16:
             self._weigh()
 
+    def interval(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the ids' parts of TOTAL, as unsigned integers."""
+        start = self.c0.take(ids, mode="clip")
+        start *= self.a0
+        start += self.a1 * (self.p1 < ids)
+        start += self.a2 * (self.p2 < ids)
+        size = self.f0.take(ids, mode="clip")
+        size *= self.a0
+        size += self.a1 * hit1
+        size += self.a2 * hit2
+        return start.astype(np.uint64), size.astype(np.uint64)
+
 
 def encode(ids: np.ndarray) -> bytes:
     """A block of the ids (integers below 65536). An empty block has no lanes."""
@@ -105,43 +145,45 @@ def encode(ids: np.ndarray) -> bytes:
     if not n:
         return head
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.intp)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(lanes, False)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
-    words = np.zeros((lanes, steps * TOTAL_BITS // 32 + 4), np.uint32)
-    used = np.zeros(lanes, np.int64)
+    most = steps * TOTAL_BITS // 32 + 4
+    words = np.zeros(lanes * most, np.uint32)  # one lane after the other
+    used = np.arange(lanes) * most
     for now in grid:
         model.predict()
         hit1, hit2 = now == model.p1, now == model.p2
-        start = model.a0 * model.c0[now] + model.a1 * (model.p1 < now) + model.a2 * (model.p2 < now)
-        size = model.a0 * model.f0[now] + model.a1 * hit1 + model.a2 * hit2
-        unit = width >> _PART
-        before = low
-        low = low + unit * start.astype(np.uint64)
-        _carry(words, used, np.flatnonzero(low < before))
-        width = unit * size.astype(np.uint64)
+        start, size = model.interval(now, hit1, hit2)
+        width >>= _PART
+        start *= width
+        width *= size
+        low += start
+        over = low < start
+        if over.any():
+            _carry(words, used[over] - 1)
         out = np.flatnonzero(width < _LOW)
-        words[out, used[out]] = low[out] >> _32
-        used[out] += 1
-        low[out] <<= _32
-        width[out] <<= _32
+        first = low.take(out, mode="clip")
+        at = used.take(out, mode="clip")
+        words[at] = first >> _32
+        used[out] = at + 1
+        low[out] = first << _32
+        width[out] = width.take(out, mode="clip") << _32
         model.learn(now, hit1, hit2)
     last = low + (_LOW - np.uint64(1))
-    _carry(words, used, np.flatnonzero(last < low))
-    words[np.arange(lanes), used] = last >> _32
-    used += 1
-    body = words[np.arange(words.shape[1]) < used[:, None]]
+    _carry(words, used[last < low] - 1)
+    words[used] = last >> _32
+    used += 1 - np.arange(lanes) * most
+    body = words.reshape(lanes, most)[np.arange(most) < used[:, None]]
     return head + used.astype("<u2").tobytes() + body.astype("<u4").tobytes()
 
 
-def _carry(words: np.ndarray, used: np.ndarray, lanes: np.ndarray) -> None:
-    at = used[lanes] - 1
-    while len(lanes):
-        words[lanes, at] += np.uint32(1)
-        over = words[lanes, at] == 0
-        lanes, at = lanes[over], at[over] - 1
+def _carry(words: np.ndarray, at: np.ndarray) -> None:
+    while len(at):
+        words[at] += np.uint32(1)
+        at = at[words[at] == 0] - 1
 
 
 def decode(block: bytes) -> np.ndarray:
@@ -173,31 +215,31 @@ def decode(block: bytes) -> np.ndarray:
     grid = np.empty((steps, lanes), np.uint16)
     for step in range(steps):
         model.predict()
-        unit = width >> _PART
-        slot = np.minimum(value // unit, np.uint64(TOTAL - 1)).astype(np.int32)
-        pa, pb = np.minimum(model.p1, model.p2), np.maximum(model.p1, model.p2)
-        both = model.a1 + model.a2
-        wa = np.where(pa == pb, both, np.where(pa == model.p1, model.a1, model.a2))
-        wb = both - wa
-        # What the named ids have beyond order 0 is taken out, the lower one first; what is left is a place in order 0.
-        starts = model.a0 * model.c0[pa]
-        ends = starts + model.a0 * model.f0[pa] + wa
-        in_a = (slot >= starts) & (slot < ends)
-        rest = slot - wa * (slot >= ends)
-        starts = model.a0 * model.c0[pb]
-        ends = starts + model.a0 * model.f0[pb] + wb
-        in_b = (rest >= starts) & (rest < ends)
-        rest -= wb * (rest >= ends)
-        part = np.minimum((rest / model.a0).astype(np.int32), BASE - 1)  # exact: both are below 2 ** 26
-        now = np.where(in_a, pa, np.where(in_b, pb, model.slot[part])).astype(np.int64)
-        hit1, hit2 = model.p1 == now, model.p2 == now
-        start = model.a0 * model.c0[now] + model.a1 * (model.p1 < now) + model.a2 * (model.p2 < now)
-        size = model.a0 * model.f0[now] + model.a1 * hit1 + model.a2 * hit2
-        value = value - unit * start.astype(np.uint64)
-        width = unit * size.astype(np.uint64)
+        width >>= _PART
+        slot = np.minimum(value // width, np.uint64(TOTAL - 1)).astype(np.int32)
+        a0, a1, a2, p1, p2 = model.a0, model.a1, model.a2, model.p1, model.p2
+        # Where the parts of the two named ids begin and how wide they are; a slot in neither is a place in order 0.
+        same = p1 == p2
+        start1, start2 = model.c0.take(p1, mode="clip"), model.c0.take(p2, mode="clip")
+        start1 *= a0
+        start1 += a2 * (p2 < p1)
+        start2 *= a0
+        start2 += a1 * (p1 < p2)
+        beyond1, beyond2 = slot - start1, slot - start2
+        hit1 = (beyond1 >= 0) & (beyond1 < model.f0.take(p1, mode="clip") * a0 + a1 + a2 * same)
+        hit2 = (beyond2 >= 0) & (beyond2 < model.f0.take(p2, mode="clip") * a0 + a2 + a1 * same)
+        slot -= a1 * (beyond1 >= 0)
+        slot -= a2 * (beyond2 >= 0)
+        part = (slot / a0).astype(np.intp)  # exact: both are below 2 ** 26
+        now = model.slot.take(part, mode="clip")  # of a hit the place means nothing
+        now = np.where(hit2, p2, np.where(hit1, p1, now)).astype(np.intp)
+        start, size = model.interval(now, hit1, hit2)
+        start *= width
+        value -= start
+        width *= size
         short = np.flatnonzero(width < _LOW)
-        value[short] = (value[short] << _32) | word(short)
-        width[short] <<= _32
+        value[short] = (value.take(short, mode="clip") << _32) | word(short)
+        width[short] = width.take(short, mode="clip") << _32
         grid[step] = now
         model.learn(now, hit1, hit2)
     ids = np.ascontiguousarray(grid.T).ravel()[:n]

@@ -15,7 +15,7 @@ from array import array
 from functools import lru_cache
 
 #: Words in a table before it is set aside; two tables are held.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 _OTHER = re.compile(r"[^\S \n]")
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: Signs that never join the letters before them, as the apostrophe does.
@@ -58,6 +58,7 @@ class ByteLevelIds:
             raise ValueError("ids do not fit into 16 bits")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # the tables here take its place, and a full cache only costs time
         shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.shown = {n: shown(chr(n))[0][0] for n in (32, *range(0xC0, 0x250))}  # how the model spells these signs
         self.space = self.shown[32]
@@ -93,11 +94,10 @@ class ByteLevelIds:
 
     def _is_plain(self, text: str) -> bool:
         """Lines of words with one space between them; no empty lines, no other white space, no added token's string."""
-        if not text or text[0] in " \n" or text[-1] in " \n":
+        flat = text.replace("\n", " ")
+        if not flat or flat[0] == " " or flat[-1] == " " or "  " in flat or any(a in text for a in self.added):
             return False
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(a in text for a in self.added):
-            return False
-        return not _OTHER.search(text)
+        return flat.isprintable() or not _OTHER.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self._is_plain(t) for t in texts]
