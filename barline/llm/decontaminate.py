@@ -78,12 +78,12 @@ class Items:
 
     @staticmethod
     def grams_of(words: np.ndarray) -> np.ndarray:
-        """n-grams as integers, 21 bits a word; -1 where a word is not of the benchmark."""
+        """n-grams as integers, 62 / SEED_WORDS bits a word, which no slice fills; -1 where a word is not of the benchmark."""
         n = max(0, len(words) - SEED_WORDS + 1)
         code, known = np.zeros(n, np.int64), np.ones(n, bool)
         for i in range(SEED_WORDS):
             part = words[i : i + n]
-            code = (code << 21) | part
+            code = (code << (62 // SEED_WORDS)) | part
             known &= part >= 0
         return np.where(known, code, -1)
 
@@ -127,6 +127,16 @@ def _bound(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
+def _seeds_needed(size: np.ndarray, stretch: np.ndarray, least: float) -> np.ndarray:
+    """At most as many seeds as an alignment of the least score has, for items of a size in a stretch of the text.
+
+    With m words matched in r runs it has m - r seeds, and at least r - 1 words of item or text between runs, each of
+    which costs 1. So m - r >= top - m - 1, where top is the least score, and, as the item has only size - m other words and
+    the text stretch - m, m - r >= 3 * m - size - stretch - 1. Whatever m is, one of the two reaches the value below.
+    """
+    return (3 * least * MATCH * size - size - stretch) / 4 - 1
+
+
 def matches(items: Items, words: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
     """(item_id, score, first word, word after the last) of the best copy of each item in a text."""
     at, index = items.found(words)
@@ -135,29 +145,25 @@ def matches(items: Items, words: np.ndarray, least: float) -> list[tuple[int, fl
     starts, of, place = items.places
     many = starts[index + 1] - starts[index]
     flat = np.repeat(starts[index], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    hits = np.stack([of[flat], np.repeat(at, many) - place[flat], place[flat]])
-    # No alignment has a score above MATCH for each word of the item that its stretch holds.
-    known = np.concatenate([[0], np.cumsum(words >= 0)])
-    sizes = items.sizes[hits[0]]
-    ends = np.minimum(hits[1] + sizes + DRIFT, len(words))
-    hits = hits[:, known[ends] - known[np.maximum(hits[1] - DRIFT, 0)] >= least * sizes]
-    if not hits.shape[1]:
-        return []
+    hits = np.stack([of[flat], np.repeat(at, many) - place[flat]])
     hits = hits[:, np.lexsort(hits[::-1])]
-    breaks = np.flatnonzero((np.diff(hits[0]) != 0) | (np.diff(hits[1]) > DRIFT)) + 1
+    begins = np.flatnonzero(np.append(True, (np.diff(hits[0]) != 0) | (np.diff(hits[1]) > DRIFT)))
+    ends = np.append(begins[1:], hits.shape[1])
+    item, first, last = hits[0, begins], hits[1, begins], hits[1, ends - 1]
+    sizes, known = items.sizes[item], np.concatenate([[0], np.cumsum(words >= 0)])
+    low, high = np.maximum(first - DRIFT, 0), np.minimum(last + sizes + DRIFT, len(words))
+    enough = (ends - begins >= _seeds_needed(sizes, last - first + sizes + 2 * DRIFT, least)) & (known[high] - known[low] >= least * sizes)
     best: dict[int, tuple[int, float, int, int]] = {}
     plain = words.tolist()
-    for item, diagonal in (hits[:2, a:b] for a, b in zip([0, *breaks], [*breaks, hits.shape[1]], strict=True)):
-        own = items.words[item[0]]
-        low, high = max(0, diagonal[0] - DRIFT), diagonal[-1] + len(own) + DRIFT
-        distinct = items.distinct[item[0]]
+    for item, low, high in zip(item[enough].tolist(), low[enough].tolist(), high[enough].tolist(), strict=True):
+        own, distinct = items.words[item], items.distinct[item]
         if len(distinct.intersection(plain[low:high])) + len(own) - len(distinct) < least * len(own) or _bound(own, words[low:high]) < least * MATCH * len(own):
             continue
         score, end = align(own, words[low:high])
         share = score / (MATCH * len(own))
-        if share >= least and share > best.get(item[0], (0, 0.0))[1]:
+        if share >= least and share > best.get(item, (0, 0.0))[1]:
             _, back = align(own[::-1], words[low : low + end][::-1])
-            best[int(item[0])] = (items.item_ids[item[0]], share, int(low + end - back), int(low + end))
+            best[item] = (items.item_ids[item], share, low + end - back, low + end)
     return list(best.values())
 
 
@@ -179,7 +185,9 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
     One row per document and item, for the best alignment that reaches `least` of the item's own score; score is that
     share. Words are counted from 0. Null, empty and wordless texts match nothing; items of fewer than ITEM_WORDS
-    words are skipped; items with equal texts are all reported; repeated documents are reported each time.
+    words are skipped; items with equal texts are all reported; repeated documents are reported each time, with a null
+    doc_id too. Of alignments with equal scores the first is given. Texts are read whole, at any length, in memory that
+    grows with one text. An empty table of documents or items gives an empty result.
     """
     spark, kinds = docs.sparkSession, "doc_id long, item_id long, score double, first_word long, end_word long"
     out = spark.createDataFrame([], kinds)
