@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership: who else has the same value decides what a candidate is.
 
 A pass over the texts finds candidates by pattern. Their values are hashed, and the hashes are aggregated over the
-corpus by distinct repository and owner. A value that several owners have is a widely copied example; a value of one
-owner that looks drawn at random is taken for a live credential.
+corpus by distinct repository and owner. A value that several owners or very many repositories have is a widely copied
+example; a value of one owner, in few repositories, that looks drawn at random is taken for a live credential. A value
+between these, as in more repositories of one owner than one uses a credential in, gets no verdict.
 """
 
 from __future__ import annotations
@@ -65,14 +66,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "source", wide_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "source", wide_owners: int = 3, wide_repositories: int = 50, few_repositories: int = 5) -> DataFrame:
     """Per row of docs (doc_id, text, the columns named by `repository` and `owner`; others are ignored):
-    doc_id, n_assign, n_access, n_hex, n_live, n_example, base_sha256, spans.
+    doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_example, n_live, repositories, owners.
 
     `spans` lists kind:start:end, ordered by start, then kind, comma-joined. Besides the base kinds, `example` marks a
-    value that `wide_owners` or more owners have, `live` a value of one owner that looks drawn at random; both span
-    the value alone. An owner's name up to its first slash counts. Null and empty texts have no spans; a null
-    repository or owner counts as one more, unnamed; repeated rows are one owner's and each gets its own result.
+    value that `wide_owners` or more owners or `wide_repositories` or more repositories have, `live` a value of one owner
+    in at most `few_repositories` that looks drawn at random; both span the value alone. repositories and owners are those
+    of the row's most widely spread value, 0 without spans. An owner's name up to its first slash counts. Null and empty
+    texts have no spans; a null repository or owner counts as one more, unnamed; repeated rows are one owner's and each
+    gets its own result, a null doc_id stays null. Texts are read whole, at any length; of matches that begin together
+    the kind listed first comes first. An empty table gives an empty result.
     """
     given = docs.select(
         F.monotonically_increasing_id().alias("row_id"),
@@ -96,7 +100,9 @@ def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "sour
     spread = saved(spread, "spread")
     told = each.join(spread, "value").withColumn(
         "verdict",
-        F.when(F.col("owners") >= wide_owners, 3).when((F.col("owners") == 1) & F.col("drawn"), 4),
+        F.when((F.col("owners") >= wide_owners) | (F.col("repositories") >= wide_repositories), 3).when(
+            (F.col("owners") == 1) & (F.col("repositories") <= few_repositories) & F.col("drawn"), 4
+        ),
     )
     both = F.array_compact(
         F.array(
@@ -109,12 +115,14 @@ def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "sour
     )
     names = F.array(*map(F.lit, KINDS))
     listed = (
-        told.select("row_id", F.explode(both).alias("s"))
+        told.select("row_id", "repositories", "owners", F.explode(both).alias("s"))
         .groupBy("row_id")
-        .agg(F.array_sort(F.collect_set("s")).alias("all"))
+        .agg(F.array_sort(F.collect_set("s")).alias("all"), F.max("repositories").alias("repositories"), F.max("owners").alias("owners"))
         .select(
             "row_id",
             "all",
+            "repositories",
+            "owners",
             F.concat_ws(
                 ",", F.transform("all", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
             ).alias("spans"),
@@ -127,4 +135,5 @@ def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "sour
         "base_sha256",
         F.coalesce("spans", F.lit("")).alias("spans"),
         *(F.coalesce(count("all", k), F.lit(0)).alias(f"n_{KINDS[k]}") for k in (3, 4)),
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("repositories", "owners")),
     )
