@@ -6,8 +6,12 @@ the same surrogate whatever their spelling (coreference), written in the form of
 letters stay letters of their case, signs stay. Cards with a valid check digit get one, IP addresses stay valid and
 private ones private, names keep the gender of their title and their script.
 
-A pass over the distinct entities of all documents checks that no two share a surrogate and that none is another real
-entity. Those that do are drawn again, round by round, until all are distinct; only these exceptions are joined back.
+Numbers and addresses of one form are a closed space: their surrogates are a keyed permutation of it, so they are
+distinct by construction, however full the space is. Names and mails are open: names are drawn from parts, and every
+further draw makes them and the local parts of mails longer. A pass over the distinct entities of all documents checks that no two
+share a surrogate and that none is another real entity. Those that do are drawn again, round by round; only these
+exceptions are joined back. Numbers that still meet real ones after CLOSED_ROUNDS, as they must where real ones fill
+more than half of a space, keep their first surrogate: it is a real entity's form, but no other entity has it.
 """
 
 from __future__ import annotations
@@ -20,12 +24,12 @@ from pyspark.sql import functions as F
 from barline.llm.tables import saved
 
 KINDS = ("email", "ip", "phone", "card", "ssn", "iban", "name")
-#: After so many draws a mail address may grow, so that short ones cannot run out.
-GROWS = 3
-#: Draws until an entity counts as one that cannot have a surrogate of its own.
-ROUNDS = 24
-#: Exceptions up to this many documents are broadcast; more are joined by a shuffle.
-BROADCAST = 50_000
+#: Kinds whose surrogates are a permutation of all entities of the same form.
+CLOSED = ("ip", "phone", "card", "ssn", "iban")
+#: Draws after the first that an entity of a closed kind gets to evade real ones, and that any gets before it is an error.
+CLOSED_ROUNDS, ROUNDS = 6, 20
+#: Bytes of exceptions up to which they are broadcast; more are joined by a shuffle.
+BROADCAST = 32 << 20
 
 _OCTET = "(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)"
 _TITLE = "(?:Mr|Mrs|Ms|Miss|Mister|Sir|Madam|Herrn?|Frau|M|Mme|Monsieur|Madame|Mlle|Sr|Sra|Srta|Señor|Señora|Señorita|Don|Doña|Господин|Госпожа|Κύριος|Κυρία)"
@@ -91,7 +95,7 @@ def normal(mention: Column, kind: Column) -> Column:
     return (
         F.when(kind == "name", F.concat(female, F.lower(F.regexp_replace(mention, f"^{_TITLE}\\.? ", ""))))
         .when(kind == "email", F.lower(mention))
-        .when(kind == "ip", mention)
+        .when(kind == "ip", F.regexp_replace(mention, "(?<!\\d)0+(?=\\d)", ""))
         .otherwise(F.regexp_replace(mention, "[^A-Z0-9]", ""))
     )
 
@@ -114,22 +118,6 @@ def _number(digest: Column, at: Column | int, width: int = 4) -> Column:
     return F.conv(F.substring(digest, (at * 2 + 1).cast("int"), F.lit(width)), 16, 10).cast("int")
 
 
-def _redrawn(text: Column, digest: Column) -> Column:
-    """Each digit, small and capital letter becomes another of its class; other signs stay."""
-    signs = F.split(text, "")
-
-    def one(sign: Column, at: Column) -> Column:
-        n = _number(digest, at)
-        return (
-            F.when(sign.rlike("^[0-9]$"), (n % 10).cast("string"))
-            .when(sign.rlike("^[a-z]$"), F.char(n % 26 + 97))
-            .when(sign.rlike("^[A-Z]$"), F.char(n % 26 + 65))
-            .otherwise(sign)
-        )
-
-    return F.array_join(F.transform(signs, one), "")
-
-
 def _luhn(digits: Column) -> Column:
     """The check sum of digits, 0 if they are valid."""
     values = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(d.cast("int") * 2))
@@ -140,49 +128,131 @@ def _picked(words: list[str], n: Column) -> Column:
     return F.get(F.array(*map(F.lit, words)), n % len(words))
 
 
-def drawn(key: str, kind: Column, what: Column, draw: Column) -> Column:
-    """The surrogate of a normal form, in normal form, on a draw."""
-    return _bound(_digest(key, kind, what, draw), lambda digest: _drawn(key, kind, what, draw, digest))
+def _shifted(text: Column, digest: Column, lead: bool) -> Column:
+    """Each digit, small and capital letter moves on in its class by a number of the digest; other signs stay.
 
+    With `lead` a first digit of 2 to 9 stays one, and 0 and 1 stay themselves.
+    """
 
-def _drawn(key: str, kind: Column, what: Column, draw: Column, digest: Column) -> Column:
-    # All letters of the local part are redrawn, those beyond ASCII as ASCII ones.
-    local, domain = F.regexp_replace(F.substring_index(what, "@", 1), "[^\\x00-\\x7F]", "x"), F.substring_index(what, "@", -1)
-    top = F.regexp_extract(domain, "(?:^|\\.)example\\.(?:com|net|org)$|\\.[a-z]+$", 0)  # reserved names stay reserved
-    # A domain has one surrogate for all its addresses; only the local part is drawn again.
-    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    moved = _bound(_digest(key, F.lit("domain"), domain, F.lit(0)), lambda own: _redrawn(host, own))
-    longer = F.when(draw >= GROWS, F.substring(F.translate(digest, "0123456789", "ghijklmnop"), F.lit(9), (draw - GROWS + 2).cast("int"))).otherwise("")
-    email = F.concat(_redrawn(local, digest), longer, F.lit("@"), moved, top)
-    octets = F.split(what, "\\.")
-    held = F.when(what.rlike("^(?:10|127)\\."), 1).when(what.rlike("^(?:192\\.168|172\\.(?:1[6-9]|2\\d|3[01]))\\."), 2).otherwise(0)
-    public = lambda n: F.when(n.isin(10, 127, 172, 192), n + 1).otherwise(n)
-    ip = F.array_join(
-        F.transform(
-            octets,
-            lambda o, i: F.when(i < held, o).otherwise(F.when(i == 0, public(_number(digest, i) % 223 + 1)).otherwise(_number(digest, i) % 254 + 1).cast("string")),
-        ),
-        ".",
+    def one(sign: Column, at: Column) -> Column:
+        code, n = F.ascii(sign), _number(digest, at)
+        moved = F.when(sign.rlike("^[0-9]$"), F.char((code - 48 + n) % 10 + 48)).when(sign.rlike("^[a-z]$"), F.char((code - 97 + n) % 26 + 97))
+        moved = moved.when(sign.rlike("^[A-Z]$"), F.char((code - 65 + n) % 26 + 65)).otherwise(sign)
+        if not lead:
+            return moved
+        return F.when(at > 0, moved).when(sign.rlike("^[2-9]$"), F.char((code - 50 + n) % 8 + 50)).otherwise(sign)
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def _stirred(halves: tuple[Column, Column], digest: Callable[[int, Column], Column], move: Callable[[int, Column, Column], Column], then: Callable[[Column, Column], Column], rounds: int = 4) -> Column:
+    """then(left, right) after rounds in which one half moves by a digest of the other: a bijection whatever the digest is."""
+    left, right = halves
+    if not rounds:
+        return then(left, right)
+    moved = rounds % 2  # the last round moves the right half
+    here, there = (right, left) if moved else (left, right)
+    return _bound(
+        _bound(digest(rounds, there), lambda d: move(moved, here, d)),
+        lambda new: _stirred((left, new) if moved else (new, right), digest, move, then, rounds - 1),
     )
-    # Country codes of one digit are 1 and 7; a number without one starts with its area.
-    country = F.when(F.length(what) <= 10, 0).when(what.rlike("^[17]"), 1).otherwise(2)
-    numbers = _redrawn(what, digest)
-    first = (_number(digest, 20) % 8 + 2).cast("string")
-    phone = F.concat(F.substring(what, F.lit(1), country), first, F.substring(numbers, country + 2, F.length(what)))
-    body = F.concat(F.substring(what, 1, 1), F.substring(numbers, F.lit(2), F.length(what) - 2))
-    check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
-    card = F.when(_luhn(what) == 0, F.concat(body, check.cast("string"))).otherwise(F.concat(body, F.substring(numbers, -1, 1)))
-    iban = F.concat(F.substring(what, 1, 2), F.substring(numbers, F.lit(3), F.length(what)))
+
+
+def _permuted(text: Column, key: str, kind: Column, draw: Column, lead: bool = False) -> Column:
+    """A keyed permutation of the texts of one form: of that length, with digits, letters and signs where `text` has them."""
+    half = F.ceil(F.length(text) / 2).cast("int")
+    halves = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+
+    def digest(step: int, other: Column) -> Column:
+        seed = F.concat_ws("|", F.lit(key), kind, draw.cast("string"), F.lit(str(step)), other, F.length(text).cast("string"))
+        blocks = F.sequence(F.lit(0), F.floor(half / 30).cast("int"))
+        return F.array_join(F.transform(blocks, lambda i: F.sha2(F.concat_ws("|", seed, i.cast("string"), F.lit(key)), 256)), "")
+
+    return _stirred(halves, digest, lambda right, here, d: _shifted(here, d, lead and not right), F.concat)
+
+
+#: First octets that stay as they are: with the next one those of private networks, alone the others.
+_WIDE, _NARROW = (172, 192), (10, 127)
+
+
+def _permuted_ip(what: Column, key: str, draw: Column) -> Column:
+    """A keyed permutation of the addresses of a network: 10., 127., any 172.x. or 192.x., all other unicast ones, or those beyond."""
+    octet = F.transform(F.split(what, "\\."), lambda o: o.cast("int"))
+    first = F.get(octet, F.lit(0))
+    public = (first > 0) & (first < 224) & ~first.isin(*_WIDE, *_NARROW)
+    kept = sorted((*_WIDE, *_NARROW))
+    index = first - 1
+    for o in kept:
+        index = index - F.when(first > o, 1).otherwise(0)
+    halves = F.array(F.when(public, index).otherwise(first), F.get(octet, F.lit(1))), F.array(F.get(octet, F.lit(2)), F.get(octet, F.lit(3)))
+
+    def digest(step: int, other: Column) -> Column:
+        return F.sha2(F.concat_ws("|", F.lit(key), F.lit("ip"), draw.cast("string"), F.lit(str(step)), F.array_join(other, "."), F.lit(key)), 256)
+
+    def move(right: int, here: Column, d: Column) -> Column:
+        def one(o: Column, i: Column) -> Column:
+            n = _number(d, i)
+            if right:
+                return (o + n) % 256
+            return F.when(i == 0, F.when(public, (o + n) % (223 - len(kept))).otherwise(o)).when(first.isin(*_WIDE), o).otherwise((o + n) % 256)
+
+        return F.transform(here, one)
+
+    def then(left: Column, right: Column) -> Column:
+        shown = F.get(left, F.lit(0)) + 1
+        for o in kept:
+            shown = shown + F.when(shown >= o, 1).otherwise(0)
+        head = F.when(public, shown).otherwise(first)
+        return F.concat_ws(".", *(c.cast("string") for c in (head, F.get(left, F.lit(1)), F.get(right, F.lit(0)), F.get(right, F.lit(1)))))
+
+    return _stirred(halves, digest, move, then)
+
+
+def _check(body: Column) -> Column:
+    """The check digit of the digits of a card before it."""
+    return (10 - _luhn(F.concat(body, F.lit("0")))) % 10
+
+
+def _name(key: str, what: Column, draw: Column, digest: Column) -> Column:
     own = F.substring(what, F.lit(3), F.length(what))
     script = F.when(own.rlike("\\p{IsCyrillic}"), "cyrillic").when(own.rlike("\\p{IsGreek}"), "greek").otherwise("latin")
     gender = F.substring(what, 1, 1)
     given, family = F.lit(None), F.lit(None)
     for (s, g), words in GIVEN.items():
         given = F.when((script == s) & (gender == g), _picked(words, _number(digest, 0))).otherwise(given)
-    for s, parts in PARTS.items():
-        family = F.when(script == s, F.concat(*(_picked(parts, _number(digest, at)) for at in (2, 4, 6)), F.when(draw >= GROWS, _picked(parts, _number(digest, 8))).otherwise(""))).otherwise(family)
-    name = F.concat(gender, F.lit(":"), F.lower(F.concat_ws(" ", F.when(own.contains(" "), given), family)))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", name).otherwise(numbers)
+    for s, parts in PARTS.items():  # a part more with every draw
+        made = F.array_join(F.transform(F.sequence(F.lit(0), (draw + 2).cast("int")), lambda i: _picked(parts, _number(digest, i * 2 + 2))), "")  # noqa: B023
+        family = F.when(script == s, made).otherwise(family)
+    return F.concat(gender, F.lit(":"), F.lower(F.concat_ws(" ", F.when(own.contains(" "), given), family)))
+
+
+def drawn(key: str, kind: Column, what: Column, draw: Column) -> Column:
+    """The surrogate of a normal form, in normal form, on a draw."""
+    # Letters of the local part beyond ASCII become ASCII ones.
+    local, domain = F.regexp_replace(F.substring_index(what, "@", 1), "[^\\x00-\\x7F]", "x"), F.substring_index(what, "@", -1)
+    top = F.regexp_extract(domain, "(?:^|\\.)example\\.(?:com|net|org)$|\\.[a-z]+$", 0)  # reserved names stay reserved
+    # A domain has one surrogate for all its addresses; only the local part is drawn again, and then it grows.
+    moved = _permuted(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), key, F.lit("domain"), F.lit(0))
+    longer = _bound(_digest(key, kind, what, draw), lambda d: F.substring(F.translate(d, "0123456789", "ghijklmnop"), F.lit(9), (draw + 1).cast("int")))
+    email = F.concat(_permuted(local, key, F.concat_ws("@", kind, domain), draw), F.when(draw > 0, longer).otherwise(""), F.lit("@"), moved, top)
+    # Country codes of one digit are 1 and 7; a number without one starts with its area.
+    country = F.when(F.length(what) <= 10, 0).when(what.rlike("^[17]"), 1).otherwise(2)
+    phone = F.concat(F.substring(what, F.lit(1), country), _permuted(F.substring(what, country + 1, F.length(what)), key, F.concat_ws("+", kind, F.substring(what, F.lit(1), country)), draw, lead=True))
+    first, last = F.substring(what, 1, 1), F.substring(what, -1, 1).cast("int")
+    off = (last - _check(F.substring(what, F.lit(1), F.length(what) - 1)) + 10) % 10  # 0 for valid cards, else what it is wrong by
+    body = F.concat(first, _permuted(F.substring(what, F.lit(2), F.length(what) - 2), key, F.concat(kind, first), draw))
+    card = _bound(body, lambda b: F.concat(b, ((_check(b) + off) % 10).cast("string")))
+    iban = F.concat(F.substring(what, 1, 2), _permuted(F.substring(what, F.lit(3), F.length(what)), key, F.concat(kind, F.substring(what, 1, 2)), draw))
+    name = _bound(_digest(key, kind, what, draw), lambda d: _name(key, what, draw, d))
+    return (
+        F.when(kind == "email", email)
+        .when(kind == "ip", _permuted_ip(what, key, draw))
+        .when(kind == "phone", phone)
+        .when(kind == "card", card)
+        .when(kind == "iban", iban)
+        .when(kind == "name", name)
+        .otherwise(_permuted(what, key, kind, draw))
+    )
 
 
 def written(mention: Column, kind: Column, surrogate: Column) -> Column:
@@ -206,26 +276,31 @@ def _written(mention: Column, kind: Column, surrogate: Column) -> Column:
 
 
 def exceptions(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, what, surrogate) for the rows of entities (kind, what) whose first draw is another's or a real entity.
+    """(kind, what, surrogate) for the rows of entities (kind, what) that do not keep their first surrogate.
 
-    entities has each entity once. Of several that share a surrogate the least keeps it. Every round draws again only
-    for those that clash, but checks against all.
+    entities has each entity once. Of several that share a surrogate the one of the earliest draw, then the least, keeps
+    it; none keeps a real entity's form, but for closed kinds after CLOSED_ROUNDS, which then have their first one, as
+    nobody else can have it. Every round draws again only for those that clash, but checks against all.
     """
     given = saved(entities.withColumn("draw", F.lit(0)).withColumn("surrogate", drawn(key, F.col("kind"), F.col("what"), F.lit(0))), "entities")
-    real = given.select("kind", F.col("what").alias("surrogate"), F.lit(True).alias("real"))
-    fixed = given
-    changed: DataFrame | None = None
+    real = given.select("kind", F.col("what").alias("surrogate"), F.lit(None).cast("struct<draw:int,what:string>").alias("of"))
+    changed, settled = given.limit(0), given.limit(0).select("kind", "what")
     for draw in range(1, ROUNDS):
-        every = fixed if changed is None else fixed.join(changed.select("kind", "what"), ["kind", "what"], "left_anti").unionByName(changed)
-        # A real entity counts as the owner of its own form, even before the least of those that were given it.
-        owners = every.select("kind", "surrogate", "what", F.lit(False).alias("real")).unionByName(real.select("kind", "surrogate", F.lit(None).cast("string").alias("what"), "real"))
-        held = owners.groupBy("kind", "surrogate").agg(F.min("what").alias("least"), F.count("what").alias("n"), F.bool_or("real").alias("real"))
+        others = changed.select("kind", "what").unionByName(settled)
+        every = given.join(others, ["kind", "what"], "left_anti").unionByName(changed) if draw > 1 else given
+        owners = every.select("kind", "surrogate", F.struct("draw", "what").alias("of")).unionByName(real)
+        held = owners.groupBy("kind", "surrogate").agg(F.min("of").alias("least"), F.count("of").alias("n"), (F.count("*") > F.count("of")).alias("real"))
         clashing = held.where("n > 1 OR (n > 0 AND real)")
-        again = every.join(clashing, ["kind", "surrogate"]).where("real OR what <> least").select("kind", "what")
+        again = every.join(clashing, ["kind", "surrogate"]).where("real OR what <> least.what").select("kind", "what")
         again = saved(again.withColumn("draw", F.lit(draw)).withColumn("surrogate", drawn(key, F.col("kind"), F.col("what"), F.lit(draw))), "redrawn")
         if again.isEmpty():
-            return (changed if changed is not None else given.limit(0)).select("kind", "what", "surrogate")
-        changed = again if changed is None else changed.join(again.select("kind", "what"), ["kind", "what"], "left_anti").unionByName(again)
+            return changed.select("kind", "what", "surrogate")
+        changed = changed.join(again.select("kind", "what"), ["kind", "what"], "left_anti")
+        if draw > CLOSED_ROUNDS:
+            closed = F.col("kind").isin(*CLOSED)
+            settled = settled.unionByName(again.where(closed).select("kind", "what"))
+            again = again.where(~closed)
+        changed = saved(changed.unionByName(again), "changed")
     raise ValueError("an entity has no surrogate of its own; give another key")
 
 
@@ -234,8 +309,10 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
 
     text has every mention replaced; the counts are of mentions. Null texts stay null with counts 0, texts without
     mentions stay as they are. Equal entities get equal surrogates in all documents, distinct ones distinct surrogates,
-    none of which is an entity of these documents. The key is a secret of the caller: without it nobody can tell which
-    surrogate belongs to whom. Repeated rows give repeated results; an empty table gives an empty one.
+    none of which is an entity of these documents as long as their form has room. The key is a secret of the caller:
+    without it nobody can tell which surrogate belongs to whom. Repeated rows give repeated results, a null doc_id stays
+    null, an empty table gives an empty one. Texts are scanned whole, in time that grows with their length; where two
+    patterns match at one place the one listed first counts.
     """
     # Each mention gets a mark before and after it; the mark holds the hash of the text, so the text does not hold it.
     mark = F.concat(F.lit("\ufdd0"), F.hex(F.xxhash64("text")), F.lit("\ufdd1"))
@@ -248,12 +325,14 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     some = saved(some, "mentions")
     odd = exceptions(some.select("kind", "what").distinct(), key)
     # Documents with an exception get a map of theirs; rows of equal texts, or of equal hashes, share one.
-    maps = some.join(odd, ["kind", "what"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "what"), "surrogate"))).alias("odd"))
+    entry = F.struct(F.concat_ws("|", "kind", "what"), "surrogate")
+    size = F.length("what") + F.length("surrogate") + 64  # what an entry takes, with room for what holds it
+    maps = some.join(odd, ["kind", "what"]).groupBy("key").agg(F.map_from_entries(F.collect_list(entry)).alias("odd"), F.sum(size).alias("bytes"))
     maps = saved(maps, "odd")
-    n = maps.count()
+    n, held = maps.agg(F.count("*"), F.sum("bytes")).first()
     if n:
-        side = F.broadcast(maps) if n <= BROADCAST else maps
-        found = found.withColumn("key", F.xxhash64("text")).join(side, "key", "left").drop("key")
+        side = F.broadcast(maps) if held + 64 * n <= BROADCAST else maps
+        found = found.withColumn("key", F.xxhash64("text")).join(side.drop("bytes"), "key", "left").drop("key")
     else:
         found = found.withColumn("odd", F.lit(None).cast("map<string,string>"))
 

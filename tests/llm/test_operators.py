@@ -334,6 +334,19 @@ def test_secrets_by_ownership(spark):
     assert all("example" in got[i]["spans"] and "live" not in got[i]["spans"] for i in (2, 3, 4))
     assert secrets.scan_secrets(table(spark, rows).limit(0)).count() == 0
     assert secrets.scan_secrets(table(spark, [rows[0], rows[0]])).count() == 2
+    assert (got[1]["repositories"], got[1]["owners"], got[2]["repositories"], got[5]["owners"]) == (1, 1, 3, 0)
+    long = "x " * 300_000 + f"token={drawn}"
+    assert secrets.scan_secrets(table(spark, [(1, long)])).first()["spans"] == f"assign:600000:{len(long)},hex:600006:{len(long)},live:600006:{len(long)}"
+
+
+def test_secrets_by_repositories_alone(spark):
+    """One owner in all rows: the verdict follows from the number of its repositories."""
+    drawn = "9f86d081884c7d659a2feaa0c55ad015"
+    for repositories, verdict in ((1, "live"), (5, "live"), (6, None), (49, None), (50, "example")):
+        rows = [(i, f"token={drawn}", None, f"me/r{i}") for i in range(repositories)]
+        for r in secrets.scan_secrets(table(spark, rows)).collect():
+            assert (r["repositories"], r["owners"]) == (repositories, 1)
+            assert {s.split(":")[0] for s in r["spans"].split(",")} - {"assign", "hex"} == ({verdict} if verdict else set())
 
 
 # ---- 6 ----
@@ -475,6 +488,64 @@ def test_personal_data_next_to_letters(spark):
     assert a[0].isupper() and a.lower() == b
 
 
+def surrogates_of(spark, entities):
+    """kind, what, surrogate of entities (kind, what) as the operator gives them."""
+    odd = privacy.exceptions(entities, "key").withColumnRenamed("surrogate", "other")
+    first = privacy.drawn("key", F.col("kind"), F.col("what"), F.lit(0))
+    return entities.join(odd, ["kind", "what"], "left").select("kind", "what", F.coalesce("other", first).alias("surrogate"))
+
+
+def test_closed_spaces_are_permuted(spark):
+    """Every value of small forms: the surrogates are the same values in another order."""
+    numbers = spark.range(100_000).select(F.format_string("%05d", "id").alias("what"))
+    for kind, what in (("ssn", numbers), ("phone", numbers), ("iban", numbers.select(F.concat(F.lit("DE"), F.substring("what", 1, 4)).alias("what")).distinct())):
+        got = [(r["what"], r["s"]) for r in what.select("what", privacy.drawn("key", F.lit(kind), F.col("what"), F.lit(0)).alias("s")).collect()]
+        assert {a for a, _ in got} == {b for _, b in got} and sum(a == b for a, b in got) < 0.1 * len(got) + 10
+    nets = spark.range(1 << 16).select(F.explode(F.array(*(F.concat_ws(".", F.lit(n), F.shiftright("id", 8).cast("string"), (F.col("id") % 256).cast("string")) for n in ("192.168", "10.7", "8.8", "172.5")))).alias("what"))
+    got = nets.select("what", privacy.drawn("key", F.lit("ip"), F.col("what"), F.lit(0)).alias("s")).distinct()
+    assert got.select("s").distinct().count() == got.count() == 4 << 16
+    for net, like in (("192.168.", "192\\.168\\."), ("10.", "10\\."), ("172.5.", "172\\.5\\."), ("8.", "(?!10\\.|127\\.|172\\.|192\\.|0\\.)")):
+        assert got.where(F.col("what").startswith(net) & ~F.col("s").rlike(f"^{like}[0-9.]+$")).count() == 0
+
+
+def test_full_spaces_get_distinct_surrogates(spark):
+    full = spark.range(60_000).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("192.168"), F.shiftright("id", 8).cast("string"), (F.col("id") % 256).cast("string")).alias("what"))
+    got = surrogates_of(spark, full)
+    assert got.where(F.col("surrogate").startswith("192.168.")).select("surrogate").distinct().count() == 60_000
+    letters = [F.char((F.floor(F.col("id") / 26**k) % 26 + 97).cast("int")) for k in range(5)]
+    names = spark.range(500_000).select(F.lit("name").alias("kind"), F.concat(F.lit("m:"), *letters).alias("what"))
+    got = surrogates_of(spark, names)
+    assert got.select("surrogate").distinct().count() == 500_000
+    assert got.join(names.select(F.col("what").alias("surrogate")), "surrogate").count() == 0
+
+
+def test_replacement_equals_a_rule_by_rule_one(spark):
+    """Mentions found and cut by Python, on all test documents and on made ones; entity by entity the surrogates agree."""
+    import regex
+
+    rng = random.Random(31)
+    made = [" | ".join(rng.choice([f"{rng.randrange(256)}.{rng.randrange(256)}.0{rng.randrange(10)}.{rng.randrange(256)}", f"+1 {rng.randrange(10)} 55 {rng.randrange(10, 99)}", f"{rng.choice('ab')}@x.de", f"4{rng.randrange(10**15):015d}", "Frau Ada Noé", "Mr. Noé", prose(rng, 3), f"{rng.randrange(10**9):09d}"[:3] + "-12-3456"]) for _ in range(40)) for _ in range(60)]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + list(enumerate([*made, "x " * 150_000 + "a@b.co"], 10**6))
+    pattern = regex.compile(privacy.PATTERN.replace("\\x{20000}-\\x{3ffff}", "\U00020000-\U0003ffff"), regex.V1)
+    got = {r["doc_id"]: r for r in privacy.replace_personal_data(table(spark, rows), "key").collect()}
+    told, all_mentions = {}, set()
+    for doc_id, text in rows:
+        mentions, pieces = pattern.findall(text or ""), pattern.split(text or "")
+        assert sum(got[doc_id][f"n_{k}"] for k in privacy.KINDS) == len(mentions)
+        if not mentions:
+            assert got[doc_id]["text"] == text
+            continue
+        cut = re.fullmatch("(.+?)".join(map(re.escape, pieces)), got[doc_id]["text"], re.DOTALL)
+        for mention, surrogate in zip(mentions, cut.groups(), strict=True):  # everything between the mentions is as it was
+            assert told.setdefault(mention, surrogate) == surrogate, mention
+            if mention[0].isdigit() and "." not in mention:
+                assert re.sub("[0-9]", "0", mention) == re.sub("[0-9]", "0", surrogate)
+        all_mentions |= set(mentions)
+    spelled = lambda m: ".".join(str(int(x)) for x in m.split(".")) if re.fullmatch(r"[\d.]+", m) and "." in m else re.sub("[ ()+-]", "", m) if m[0] in "+(0123456789" else m.lower()
+    entities = {spelled(m): spelled(s) for m, s in told.items()}
+    assert len(set(entities.values())) == len(entities) > 300 and not set(entities.values()) & set(entities)
+
+
 # ---- 8 ----
 
 
@@ -599,6 +670,28 @@ def test_edited_copies_of_short_items_are_found():
                 assert found.get(i) == (pytest.approx(share) if share >= decontaminate.LEAST else None), (n, step, share)
 
 
+def test_edits_of_all_kinds_are_found():
+    """Words replaced, left out and put in at random: what a full alignment of the text finds is found, with its score."""
+    rng = random.Random(15)
+    reached = 0
+    for n in (12, 16, 24, 40, 59):
+        items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(n)).encode()) for i in range(30)]
+        known = decontaminate.Items.of(items)
+        for rate in (0.1, 0.25, 0.35):
+            for i, text in items:
+                words = []
+                for w in text.split():
+                    what = rng.choice("rld") if rng.random() < rate else ""
+                    words += {"": [w], "r": [b"other"], "l": [], "d": [w, b"other"]}[what]
+                around = b" ".join(f"w{rng.randrange(300)}".encode() for _ in range(40))
+                copy = known.numbers(around + b" " + b" ".join(words) + b" " + around)
+                score = align(known.words[i].tolist(), copy.tolist()) / (2 * n)
+                found = {m[0]: m[1] for m in decontaminate.matches(known, copy, decontaminate.LEAST)}
+                assert found.get(i) == (pytest.approx(score) if score >= decontaminate.LEAST else None)
+                reached += i in found
+    assert reached > 200
+
+
 # ---- 10 ----
 
 
