@@ -1,8 +1,9 @@
 """Order-sensitive functions that do not put all rows of a key into one task.
 
 A plain window over (key ORDER BY seq) sorts each key in one task, and a key may hold a third of all rows. Here the
-order is cut into ranges. Running values are summed up by range, carried over the ranges, which are few, and finished
-inside each range. Frames of bounded length get blocks of consecutive rows with the rows before them as a margin.
+order is cut into ranges of about equally many rows, however skewed or often equal its values are. Running values are
+summed up by range, carried over the ranges, which are few, and finished inside each range. Frames of bounded length get
+blocks of consecutive rows with the rows before them as a margin.
 """
 
 from __future__ import annotations
@@ -16,45 +17,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows per range or block, roughly.
-ROWS = 1 << 17
+from barline.sources.shared import saved
+
+#: Rows per range or block, roughly, and how many ranges there are at most; beyond that they have more rows.
+ROWS, RANGES = 1 << 17, 1 << 15
 
 
 class Spread(NamedTuple):
-    """How many rows the largest key has, and between which values of the order they lie. Larger values do no harm."""
+    """How many rows the largest key has, and all keys together. Larger values do no harm."""
 
     rows: int
-    low: float | None
-    high: float | None
+    total: int
 
     def with_more(self, other: Spread) -> Spread:
-        lows, highs = ([x for x in pair if x is not None] for pair in ((self.low, other.low), (self.high, other.high)))
-        return Spread(self.rows + other.rows, min(lows, default=None), max(highs, default=None))
+        return Spread(self.rows + other.rows, self.total + other.total)
+
 
+def spread(df: DataFrame, keys: list[str]) -> Spread:
+    """One pass over df; hand the result on where a table is derived from df without more rows."""
+    n, total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return Spread(n or 0, total or 0)
 
-def spread(df: DataFrame, keys: list[str], order: str) -> Spread:
-    """One pass over df; hand the result on where a table is derived from df without new values of the order."""
-    each = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("low"), F.max(order).alias("high"))
-    n, low, high = each.agg(F.max("n"), F.min("low"), F.max("high")).first()
-    return Spread(n or 0, low, high)
 
+def with_range(df: DataFrame, by: list[str], known: Spread, rows: int = ROWS) -> DataFrame:
+    """Adds `_range`: numbers that ascend with the columns `by`, keys first, each for about `rows` rows; 0 for all if no key has more.
 
-def with_range(df: DataFrame, order: str, known: Spread, rows: int = ROWS) -> DataFrame:
-    """Adds `_range`, equally wide ranges of `order`, a number: so many that the largest key has `rows` rows in each on average."""
-    n, low, high = known
-    if low is None or n <= rows or high == low:
+    Spark samples the columns and cuts them into ranges of equally many rows; equal values of the first columns are cut
+    by those after them. The result is written, so that all that is derived from it sees the same ranges.
+    """
+    if known.rows <= rows:
         return df.withColumn("_range", F.lit(0).cast("long"))
-    return df.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / F.lit(float((high - low) * rows / n))).cast("long"))
+    ranges = min(RANGES, -(-known.total // rows))
+    return saved(df.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id().cast("long")), "ranges")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], rows: int = ROWS, known: Spread | None = None) -> DataFrame:
     """Adds for each name a sum ("sum") or maximum ("max") over all earlier rows of the same keys, without the row itself.
 
-    order must be unique within keys; its first column is a number. Sums of nothing are 0, maxima null. Without `known`
-    df is read once more, for its spread.
+    order must be unique within keys. Sums of nothing are 0, maxima null. Without `known` df is read once more, for its
+    spread.
     """
     functions: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max}
-    cut = with_range(df, order[0], known or spread(df, keys, order[0]), rows).withColumns({f"_v_{n}": v for n, (_, v) in values.items()})
+    cut = with_range(df, [*keys, *order], known or spread(df, keys), rows).withColumns({f"_v_{n}": v for n, (_, v) in values.items()})
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "_range").agg(*(functions[how](f"_v_{n}").alias(f"_t_{n}") for n, (how, _) in values.items()))

@@ -10,7 +10,7 @@ from barline.functions.scalars import limit_fill_price, order_fault
 from barline.operators.indicators import level_signals
 from barline.sources.cold import saved
 
-#: Candles of a symbol per block of the search for the first candle that reaches a limit.
+#: Candles of a symbol per block of the search for the first candle that reaches a limit, and blocks per larger block.
 BLOCK = 256
 
 
@@ -19,22 +19,33 @@ def submitted(orders: DataFrame, known: Spread | None = None) -> DataFrame:
     return numbered(orders, [], ["seq"], "order_id", known=known).withColumn("fault", order_fault(F.col("qty"), F.col("price")))
 
 
-def _first_reached(limits: DataFrame, candles: DataFrame) -> DataFrame:
+def _first_reached(limits: DataFrame, candles: DataFrame, most: int, block: int) -> DataFrame:
     """order_id, n: the first candle at or after `next` that reaches the price of a limit order, if any.
 
-    First the rest of the block that `next` is in, then, by the extremes of whole blocks, the first block that reaches
-    the price, then its candles; so an order meets its blocks and two blocks of candles, not all candles.
+    Candles are the units of level 0, and `block` units of a level make one of the next, with its extremes. Going up, an
+    order looks at the units from its place to the end of their block and, without a hit, goes on after that block one
+    level higher; going down, it looks for the first unit in the block that it found. So it meets at most two blocks of
+    units at each of a few levels, `most` being the candles of the largest symbol.
     """
-    spans = candles.groupBy("symbol", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    block = max(2, block)
     reached = F.when(F.col("side") == "B", F.col("low") <= F.col("price")).otherwise(F.col("high") >= F.col("price"))
-    slim = candles.select("symbol", "block", "n", "low", "high")
-    own = limits.join(slim, ["symbol", "block"]).where((F.col("n") >= F.col("next")) & reached)
-    own = own.groupBy("order_id").agg(F.min("n").alias("n"))
-    rest = limits.join(own, "order_id", "left_anti").withColumnRenamed("block", "first")
-    later = rest.join(spans, "symbol").where((F.col("block") > F.col("first")) & reached)
-    later = later.groupBy("order_id", "symbol", "side", "price").agg(F.min("block").alias("block"))
-    far = later.join(slim, ["symbol", "block"]).where(reached).groupBy("order_id").agg(F.min("n").alias("n"))
-    return own.unionByName(far)
+    of = lambda c: F.expr(f"{c} div {block}")
+    units = [candles.select("symbol", (F.col("n") - 1).alias("unit"), of("(n - 1)").alias("block"), "low", "high")]
+    pending = limits.select("order_id", "symbol", "side", "price", (F.col("next") - 1).alias("from"))
+    found: list[DataFrame] = []
+    while True:
+        near = pending.withColumn("block", of("from")).join(units[-1], ["symbol", "block"]).where((F.col("unit") >= F.col("from")) & reached)
+        found.append(saved(near.groupBy("order_id", "symbol", "side", "price").agg(F.min("unit").alias("unit")), "reached"))
+        if block ** len(units) >= most:
+            break
+        pending = pending.join(found[-1].select("order_id"), "order_id", "left_anti").withColumn("from", of("from") + 1)
+        wider = units[-1].groupBy("symbol", F.col("block").alias("unit")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        units.append(saved(wider.withColumn("block", of("unit")), "units"))
+    down = found.pop()
+    for finer in reversed(units[:-1]):
+        inside = down.withColumnRenamed("unit", "block").join(finer, ["symbol", "block"]).where(reached)
+        down = found.pop().unionByName(inside.groupBy("order_id", "symbol", "side", "price").agg(F.min("unit").alias("unit")))
+    return down.select("order_id", (F.col("unit") + 1).alias("n"))
 
 
 def paper_events(orders: DataFrame, candles: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -45,22 +56,21 @@ def paper_events(orders: DataFrame, candles: DataFrame, block: int = BLOCK) -> D
     the first candle that reaches it at its price or a better open. IOC and FOK orders have the next candle only and
     are cancelled otherwise. Refused orders have no events; orders that no candle fills have none yet.
     """
-    of_orders, of_candles = spread(orders, [], "seq"), spread(candles, [], "seq")
+    of_orders, of_candles = spread(orders, []), spread(candles, ["symbol"])
     good = submitted(orders, of_orders).where("fault IS NULL").select("order_id", "seq", "symbol", "side", "kind", "price", "qty")
     bars = numbered(candles.select("seq", "symbol", "ts", "open", "high", "low"), ["symbol"], ["seq"], known=of_candles)
-    bars = bars.withColumn("block", F.floor((F.col("n") - 1) / block).cast("long"))
     # The number of the next candle is one more than the candles so far; an order that shares a seq comes after the candle.
     marks = good.select("symbol", "seq", "order_id", F.lit(1).alias("late"), F.lit(0).cast("long").alias("one"))
     marks = marks.unionByName(bars.select("symbol", "seq", F.lit(None).cast("long").alias("order_id"), F.lit(0).alias("late"), F.lit(1).cast("long").alias("one")))
     counted = running(marks, ["symbol"], ["seq", "late", "order_id"], {"before": ("sum", F.col("one"))}, known=of_orders.with_more(of_candles)).where("order_id IS NOT NULL")
     good = good.join(counted.select("order_id", (F.col("before") + 1).alias("next")), "order_id")
     # Both are read several times below.
-    good = saved(good.withColumn("block", F.floor((F.col("next") - 1) / block).cast("long")), "orders")
+    good = saved(good, "orders")
     bars = saved(bars, "bars")
-    limits = good.where("kind = 'LIMIT' AND price IS NOT NULL").select("order_id", "symbol", "side", "price", "next", "block")
+    limits = good.where("kind = 'LIMIT' AND price IS NOT NULL").select("order_id", "symbol", "side", "price", "next")
     once = good.where("kind <> 'LIMIT'").select("order_id", F.col("next").alias("n"))
-    meets = _first_reached(limits, bars).unionByName(once)
-    met = good.drop("block", "seq").join(meets, "order_id").join(bars.withColumnRenamed("seq", "candle_seq").drop("block"), ["symbol", "n"])
+    meets = _first_reached(limits, bars, of_candles.rows, block).unionByName(once)
+    met = good.drop("seq").join(meets, "order_id").join(bars.withColumnRenamed("seq", "candle_seq"), ["symbol", "n"])
     at_limit = limit_fill_price(F.col("side"), F.col("price"), F.col("open"), F.col("high"), F.col("low"))
     fill = F.when(F.col("kind") == "MARKET", F.col("open")).otherwise(at_limit)
     reason = F.when(F.col("kind") == "FOK", "FokNoFill").otherwise("IocRemainder")

@@ -47,7 +47,7 @@ def sma_crossover(candles: DataFrame, short: int = 10, long: int = 20) -> DataFr
     if min(short, long) < 1:
         return candles.limit(0).select("symbol", F.lit(0).cast("long").alias("n"), "seq", "ts", F.lit("").alias("side"), F.lit(0.0).alias("short_sma"), F.lit(0.0).alias("long_sma"))
     lean = candles.select("symbol", "seq", "ts", price_key(F.col("close")).alias("_key"))
-    known = spread(lean, ["symbol"], "seq")
+    known = spread(lean, ["symbol"])
     counted = numbered(accepted(lean, known), ["symbol"], ["seq"], known=known)
 
     def made(window: Window) -> dict[str, Column]:
@@ -98,7 +98,7 @@ def monotonic_ts(rows: DataFrame, keys: list[str], now: str = "ts") -> DataFrame
 
     In closed form: the row number plus the greatest lead of `now` over it so far.
     """
-    known = spread(rows, keys, "seq")
+    known = spread(rows, keys)
     counted = numbered(rows, keys, ["seq"], "_n", known=known)
     lead = F.col(now) - F.col("_n")
     seen = running(counted.withColumn("_lead", lead), keys, ["seq"], {"_most": ("max", F.col("_lead"))}, known=known)

@@ -11,8 +11,10 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barline.functions.ordered import ROWS, running, spread, with_range
 from barline.functions.scalars import CANDLE_BYTES
@@ -28,56 +30,58 @@ def ingest(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def replay(appends: DataFrame, max_symbols: int, rows: int = ROWS) -> DataFrame:
-    """symbol, seq, inserted, victim for each append: whether the symbol came (back) in, and who had to go for it.
+    """The appends (symbol, seq and any others) with inserted, victim: whether the symbol came (back) in, and who had to go for it.
 
     The log is cut into ranges of seq. What the store holds after a range is its max_symbols latest symbols; these
-    summaries are combined over all earlier ranges in a logarithmic number of steps, and each range is then replayed by
-    itself from the state before it. A task holds max_symbols symbols at a time, whatever the log.
+    summaries are combined over all earlier ranges in a logarithmic number of steps, and each range is then gone through
+    by itself from the state before it. A task holds max_symbols symbols at a time, whatever the log.
     """
-    room = max(1, max_symbols)
-    lean = appends.select("symbol", "seq")
-    cut = with_range(lean, "seq", spread(lean, [], "seq"), rows)
-    newest = Window.partitionBy("_range").orderBy(F.col("seq").desc())
-    latest = lambda df: df.groupBy("_range", "symbol").agg(F.max("seq").alias("seq")).withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= room).drop("_rank")
-    state = saved(latest(cut), "latest")
-    ranges = (state.agg(F.max("_range")).first()[0] or 0) + 1
-    step = 1
-    while step < ranges:
-        moved = state.withColumn("_range", F.col("_range") + step).where(F.col("_range") < ranges)
-        state = saved(latest(state.unionByName(moved)), "latest")
-        step *= 2
-    before = state.select("symbol", "seq", (F.col("_range") + 1).alias("_range"), F.lit(True).alias("_held"))
-    # Ranges without an append of their own have no summary of their own, but their state is never asked for.
-    both = cut.withColumn("_held", F.lit(False)).unionByName(before.join(cut.select("_range").distinct(), "_range", "left_semi"))
-    placed = both.repartition("_range").sortWithinPartitions("_range", F.col("_held").desc(), "seq")
+    room, names = max(1, max_symbols), appends.columns
+    known = spread(appends, [])
+    cut = with_range(appends, ["seq"], known, rows)
+    placed = cut.withColumn("_held", F.lit(False))
+    if known.rows > rows:
+        newest = Window.partitionBy("_range").orderBy(F.col("seq").desc())
+        latest = lambda df: df.groupBy("_range", "symbol").agg(F.max("seq").alias("seq")).withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= room).drop("_rank")
+        state = saved(latest(cut), "latest")
+        ranges = state.agg(F.max("_range")).first()[0] + 1
+        step = 1
+        while step < ranges:
+            moved = state.withColumn("_range", F.col("_range") + step).where(F.col("_range") < ranges)
+            state = saved(latest(state.unionByName(moved)), "latest")
+            step *= 2
+        before = state.select("symbol", "seq", (F.col("_range") + 1).alias("_range"), F.lit(True).alias("_held"))
+        # Ranges without an append of their own have no summary of their own, but their state is never asked for.
+        placed = placed.unionByName(before.join(cut.select("_range").distinct(), "_range", "left_semi"), allowMissingColumns=True)
+    sorted_in = placed.repartition("_range").sortWithinPartitions("_range", F.col("_held").desc(), "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, OrderedDict()
         for batch in batches:
-            out: list[tuple] = []
-            for symbol, seq, place, was in zip(*(batch.column(c).to_pylist() for c in ("symbol", "seq", "_range", "_held")), strict=True):
+            inserted: list[bool] = []
+            victims: list[str | None] = []
+            for symbol, place in zip(batch.column("symbol").to_pylist(), batch.column("_range").to_pylist(), strict=True):
                 if place != now:
                     now, held = place, OrderedDict()
-                inserted, victim = symbol not in held, None
-                if inserted and len(held) >= room:
+                new, victim = symbol not in held, None
+                if new and len(held) >= room:
                     victim = held.popitem(last=False)[0]
                 held[symbol] = None
                 held.move_to_end(symbol)
-                if not was:
-                    out.append((symbol, seq, inserted, victim))
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["symbol", "seq", "inserted", "victim"])
+                inserted.append(new)
+                victims.append(victim)
+            kept = batch.select(names)
+            told = pa.RecordBatch.from_arrays([*kept.columns, pa.array(inserted, pa.bool_()), pa.array(victims, pa.string())], [*names, "inserted", "victim"])
+            yield told.filter(pc.invert(batch.column("_held")))
 
-    return placed.mapInArrow(run, "symbol string, seq long, inserted boolean, victim string")
+    return sorted_in.mapInArrow(run, StructType([*appends.schema.fields, *StructType.fromDDL("inserted boolean, victim string").fields]))
 
 
 def residency(appends: DataFrame, max_symbols: int) -> DataFrame:
-    """The appends (with all their columns) and `residency`, numbered from 1 for each symbol."""
-    flags = saved(replay(appends, max_symbols).select("symbol", "seq", F.col("inserted").cast("long").alias("_in")), "residency")
-    counted = running(flags, ["symbol"], ["seq"], {"_before": ("sum", F.col("_in"))})
-    numbers = counted.select("symbol", "seq", (F.col("_before") + F.col("_in")).alias("residency"))
-    return appends.join(numbers, ["symbol", "seq"])
+    """The appends (with all their columns) and `residency`, numbered from 1 for each symbol. It is written, as it is read several times."""
+    flags = saved(replay(appends, max_symbols).drop("victim").withColumn("inserted", F.col("inserted").cast("long")), "replayed")
+    counted = running(flags, ["symbol"], ["seq"], {"_before": ("sum", F.col("inserted"))})
+    return saved(counted.select(*appends.columns, (F.col("_before") + F.col("inserted")).alias("residency")), "residency")
 
 
 def lru_victims(appends: DataFrame, max_symbols: int) -> DataFrame:
@@ -151,19 +155,17 @@ def snapshot(log: DataFrame, max_symbols: int, ring_capacity: int = RING_CAPACIT
     spill_bytes counts rows at their size in memory. Rows that are dropped for want of cold storage count as well.
     """
     valid, invalid = ingest(log)
-    placed = saved(residency(valid, max_symbols), "placed")
-    spilled = cold_rows(placed, max_symbols, ring_capacity)
+    placed = residency(valid, max_symbols)
+    size = placed.groupBy("symbol", "residency").agg(F.count(F.lit(1)).alias("rows"), F.max("seq").alias("last_seq"))
+    size = saved(size, "residencies")
+    spilled = size.join(hot_symbols(size.withColumnRenamed("last_seq", "seq"), max_symbols).withColumn("hot", F.lit(1)), ["symbol", "residency"], "left")
+    rows = F.sum(F.when(F.col("hot").isNull(), F.least(F.col("rows"), F.lit(max(1, ring_capacity)))))
+    totals = spilled.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("appends"),
+        F.count_if(F.col("hot").isNull()).alias("evictions"),
+        (F.coalesce(rows, F.lit(0)) * CANDLE_BYTES).alias("spill_bytes"),
+        F.count("hot").alias("symbols"),
+    )
     n = F.count(F.lit(1))
-    counters = {
-        "appends": placed.agg(n.alias("n")),
-        "invalid": invalid.agg(n.alias("n")),
-        "out_of_order": late_rows(placed).agg(n.alias("n")),
-        "evictions": spilled.agg(F.count_distinct("symbol", "residency").alias("n")),
-        "spill_bytes": spilled.agg((n * CANDLE_BYTES).alias("n")),
-        "symbols": hot_symbols(placed, max_symbols).agg(n.alias("n")),
-    }
-    rows = None
-    for name, counter in counters.items():
-        row = counter.withColumn("name", F.lit(name))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows.agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in counters))
+    # One row each.
+    return totals.crossJoin(invalid.agg(n.alias("invalid"))).crossJoin(late_rows(placed).agg(n.alias("out_of_order"))).select("appends", "invalid", "out_of_order", "evictions", "spill_bytes", "symbols")

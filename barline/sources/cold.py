@@ -7,7 +7,6 @@ their types; more columns are ignored. Spark itself would read a missing column
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,24 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.functions.schema import BAR
+from barline.sources.shared import saved, shared_path  # noqa: F401
 
 BRAND, VERSION = "barline", 1
 KINDS = {"ts": "int64"} | {f: "double" for f in BAR.names[1:]}
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir, the folder that all executors share; a folder of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(folder or 'file:///tmp/checkpoints/barline').rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df, written once to the shared folder: the plan is cut there and survives lost executors."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def write(candles: DataFrame, path: str) -> None:
     """Append candles (symbol, ts, open .. volume; `spill`, the number of the write, if there) below `path`.
 

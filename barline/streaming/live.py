@@ -26,10 +26,10 @@ VERDICT = "symbol string, seq long, side string, qty double, verdict string, pos
 
 
 def events(spark: SparkSession, sf_dir: str, files_per_batch: int = 100) -> DataFrame:
-    """The events table as a stream of files; the number of files bounds what a batch holds."""
+    """The events table, a file or a folder of files, as a stream of files; their number bounds what a batch holds."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/events.parquet*")
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:

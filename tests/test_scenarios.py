@@ -119,6 +119,18 @@ def test_ordered_functions_do_not_depend_on_ranges(spark):
             assert r["t"] == sum(own[-5:])
 
 
+@pytest.mark.parametrize("value", ["CASE WHEN id = 7 THEN 1000000000000 ELSE id END", "5", "CASE WHEN id % 3 = 0 THEN 0 ELSE id * id END"])
+def test_ranges_hold_equally_many(spark, value):
+    """One far value, all values equal, and a third of them equal."""
+    rows = spark.range(100_000).select(F.lit("A").alias("key"), F.expr(f"CAST({value} AS BIGINT)").alias("value"), "id")
+    cut = ordered.with_range(rows, ["key", "value", "id"], ordered.spread(rows, ["key"]), 5000)
+    sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+    assert sum(sizes) == 100_000 and max(sizes) < 2 * 5000
+    assert ordered.numbered(rows, ["key"], ["value", "id"], rows=5000).agg(F.count_distinct("n"), F.max("n")).first()[:] == (100_000, 100_000)
+    ends = cut.groupBy("_range").agg(F.min(F.struct("value", "id")).alias("low"), F.max(F.struct("value", "id")).alias("high")).orderBy("_range").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(ends, ends[1:], strict=False))
+
+
 def test_sma(spark):
     four = candles(spark, [("A", t, {"close": t}) for t in (1, 2, 3, 4)])
     assert values(indicators.rolling_sma(four, 3).orderBy("seq"), "sma") == [None, None, 2.0, 3.0]
@@ -402,3 +414,13 @@ def test_stream_state_goes_on_over_batches(spark, tmp_path):
         assert query.lastProgress["observedMetrics"]["c"]["invalid"] == 0
     got = spark.read.schema(live.CROSSING).parquet(out)
     assert sorted(map(tuple, got.collect())) == want and want
+
+
+def test_events_may_be_a_folder(spark, tmp_path):
+    from barline.streaming import live
+
+    one = spark.range(500).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, id) AS ts", "id AS user_id", "'A' AS event_type", "CAST(id AS DOUBLE) AS value", "'' AS props")
+    one.repartition(3).write.parquet(f"{tmp_path}/many/events.parquet")
+    pq.write_table(one.toArrow(), (tmp_path / "events.parquet"))
+    for folder in (f"{tmp_path}/many", str(tmp_path)):
+        assert live.drain(live.bars(live.events(spark, folder)), "bars").count() >= 7
