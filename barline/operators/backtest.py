@@ -35,9 +35,10 @@ def _first_reached(limits: DataFrame, candles: DataFrame, most: int, block: int)
     found: list[DataFrame] = []
     while True:
         near = pending.withColumn("block", of("from")).join(units[-1], ["symbol", "block"]).where((F.col("unit") >= F.col("from")) & reached)
-        found.append(saved(near.groupBy("order_id", "symbol", "side", "price").agg(F.min("unit").alias("unit")), "reached"))
+        found.append(near.groupBy("order_id", "symbol", "side", "price").agg(F.min("unit").alias("unit")))
         if block ** len(units) >= most:
             break
+        found[-1] = saved(found[-1], "reached")
         pending = pending.join(found[-1].select("order_id"), "order_id", "left_anti").withColumn("from", of("from") + 1)
         wider = units[-1].groupBy("symbol", F.col("block").alias("unit")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
         units.append(saved(wider.withColumn("block", of("unit")), "units"))

@@ -460,6 +460,18 @@ def risk_gate(spark, sf_dir):
     return risk.risk_gate(market.signals(_events(spark, sf_dir)), GATES)
 
 
+#: A fold over the signals of a symbol, one signal of each symbol per step of the recursion.
+GATE_SQL = """WITH RECURSIVE given AS (SELECT event_type AS symbol, event_id AS seq, CASE WHEN user_id % 2 = 0 THEN 'B' ELSE 'S' END AS side, (user_id % 12)::DOUBLE AS qty, epoch_us(ts) AS ts,
+  row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+told AS (SELECT DISTINCT symbol, 0::BIGINT AS n, 0::BIGINT AS seq, '' AS side, 0::DOUBLE AS qty, '' AS verdict, 0::DOUBLE AS position, (-9000000000000000)::BIGINT AS begun, 0::BIGINT AS used FROM given
+UNION ALL SELECT symbol, n, seq, side, qty, verdict, CASE verdict WHEN 'Accepted' THEN moved ELSE position END,
+  CASE WHEN verdict = 'Accepted' AND fresh THEN ts ELSE begun END, CASE WHEN verdict <> 'Accepted' THEN used WHEN fresh THEN 1 ELSE used + 1 END
+FROM (SELECT *, CASE WHEN qty <= 0 OR qty > 10 THEN 'InvalidQty' WHEN abs(moved) > 25 THEN 'PositionLimitExceeded' WHEN NOT fresh AND used >= 3 THEN 'RateLimitExceeded' ELSE 'Accepted' END AS verdict
+  FROM (SELECT x.*, a.position, a.begun, a.used, a.position + CASE x.side WHEN 'B' THEN x.qty ELSE -x.qty END AS moved, x.ts - a.begun >= 3600000000 AS fresh
+    FROM told a JOIN given x ON x.symbol = a.symbol AND x.n = a.n + 1)))
+SELECT symbol, seq, side, qty, verdict, position FROM told WHERE n > 0"""
+
+
 def executor_position(spark, sf_dir):
     return risk.executor_position(risk_gate(spark, sf_dir))
 
@@ -572,11 +584,12 @@ ORACLES = {
     "portfolio_positions": POSITIONS_SQL,
     "portfolio_pnl": PNL_SQL,
     "portfolio_cash_trades": FLOWS_SQL,
+    "risk_gate": GATE_SQL,
     "executor_position": EXECUTOR_SQL,
     "strategy_execution": f"SELECT 'hub' AS account, sum(CASE side WHEN 'B' THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END) AS position, count(*) AS accepted, 0 AS bad_qty, 0 AS over_position, 0 AS over_rate FROM ({CROSS_SQL})",
     "book_top": TOP_SQL,
     "book_sweep_static": SWEEP_SQL,
     "fok_feasibility": FOK_SQL,
 }
-WITHOUT_SQL = (risk_gate, book_replay, cold_file_gate)
+WITHOUT_SQL = (book_replay, cold_file_gate)
 QUERIES = {name: globals()[name] for name in ORACLES} | {f.__name__: f for f in WITHOUT_SQL}

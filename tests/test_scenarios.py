@@ -276,6 +276,51 @@ def test_replay_keeps_quantities(spark):
         assert price is None or (e["price"] <= price if e["side"] == "B" else e["price"] >= price)
 
 
+def matched(rows):
+    """Events of each order by a plain rule: of all resting orders of the other side the best by price, then arrival, gives what it has."""
+    resting, told = [], []
+    for n, (symbol, side, kind, price, qty) in enumerate(rows):
+        def fits(o, price=price, symbol=symbol, side=side):
+            return o["symbol"] == symbol and o["side"] != side and (price is None or (o["price"] <= price if side == "B" else o["price"] >= price))
+
+        def refuse(why, n=n, symbol=symbol):
+            told.append((symbol, n, "CANCEL", n, None, None, None, why))
+
+        if not qty > 0 or not math.isfinite(qty) or (price is None and kind == "LIMIT") or (price is not None and not (math.isfinite(price) and 0 < price)):
+            refuse("InvalidOrder")
+            continue
+        if kind == "FOK" and sum(o["left"] for o in resting if fits(o)) < qty:
+            refuse("FokNoFill")
+            continue
+        left = qty
+        while left and (others := [o for o in resting if fits(o)]):
+            best = min(others, key=lambda o: (o["price"] if side == "B" else -o["price"], o["n"]))  # noqa: B023
+            size = min(left, best["left"])
+            left -= size
+            best["left"] -= size
+            told += [(symbol, n, "FILL", n, side, best["price"], size, None), (symbol, n, "FILL", best["n"], best["side"], best["price"], size, None)]
+            resting = [o for o in resting if o["left"]]
+        if left and kind == "LIMIT":
+            resting.append(dict(n=n, symbol=symbol, side=side, price=price, left=left))
+        elif left and kind != "FOK":
+            refuse("MarketNoLiquidity" if kind == "MARKET" else "IocRemainder")
+    return told
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_replay_equals_a_plain_rule(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(1500):
+        kind = rng.choice(["LIMIT", "LIMIT", "LIMIT", "MARKET", "IOC", "FOK"])
+        price = None if kind == "MARKET" or rng.random() < 0.1 else rng.choice([math.nan, -1.0]) if rng.random() < 0.03 else rng.randrange(380, 421) / 4
+        rows.append((rng.choice("XYZ"), rng.choice("BS"), kind, price, rng.choice([0, *range(1, 12)])))
+    got = {}
+    for e in book.replay(orders(spark, rows)).collect():
+        got[e["seq"], e["ord"]] = tuple(e[c] for c in ("symbol", "seq", "event", "order_id", "side", "price", "qty", "reason"))
+    assert [got[k] for k in sorted(got)] == matched(rows)
+
+
 def test_order_and_signal_faults(spark):
     df = spark.createDataFrame([(math.nan, 1.0), (1.0, 0.0), (1e15, 1.0), (None, 1.0), (5.0, 1.0), (0.0, 1.0), (math.nan, -1.0)], "p double, q double")
     assert values(df.select(scalars.order_fault(F.col("q"), F.col("p")).alias("f")), "f") == ["PriceNotFinite", "QuantityInvalid", "PriceOutOfRange", None, None, "PriceNotPositive", "QuantityInvalid"]
