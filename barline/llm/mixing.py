@@ -22,6 +22,8 @@ LEAST_SLOTS = 64
 WEIGHTS = (5, 2, 1)
 #: How often a source may be repeated.
 REPEATS = 3
+#: Sources up to which a few numbers of each are sent to all executors, some 4 MB; beyond, no source is very large.
+BROADCAST = 1 << 16
 GOLDEN = 2654435769  # 2 ** 32 / golden ratio, odd
 _CHUNK, _CELL = 12, 20
 
@@ -112,13 +114,15 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
     size counts words, null and blank texts have none and are taken 0 times. A document gives the words that it has
     in the blocks of the schedule, REPEATS times at most; a source's add up to its target, rounded, in a corpus of any size. Repeated rows are documents of
-    their own; a null source is a source, a null doc_id is ordered first. An empty table gives an empty result.
+    their own; a null source is a source, a null doc_id is ordered first. Words are counted in whole texts of any length.
+    An empty table gives an empty result.
     """
     sized = saved(
         docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", size_of(F.col("text")).alias("size")), "sizes"
     )
     documents, words, names = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.countDistinct("source")).first()
     slots = max(min(words, slots), LEAST_SLOTS * (names + 1))
+    sent = F.broadcast if names < BROADCAST else lambda numbers: numbers  # so that a hot source is not moved into one task
     sources = saved(targets(sized, slots), "targets")
     named = sized.join(sources.select("k", "source"), sized["source"].eqNullSafe(sources["source"])).select("row_id", "doc_id", "k", "size")
     laid = saved(laid_out(named, documents), "laid")
@@ -126,14 +130,14 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     goal = F.round("target").cast("long").alias("goal")
     lengths = sources.join(ranked.groupBy("k").agg(F.count("*").alias("slots")), "k").select("k", "source_size", "slots", goal)
     lengths = lengths.withColumn("length", F.greatest(F.lit(1), F.ceil(F.col("goal") / F.col("slots"))).cast("long"))
-    passes = laid.where("size > 0").join(lengths, "k").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    passes = laid.where("size > 0").join(sent(lengths), "k").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
     passes = passes.withColumn("first", F.col("start") + F.col("pass") * F.col("source_size")).where("first < goal")
     passes = passes.withColumn("end", F.least(F.col("first") + F.col("size"), "goal"))
     pieces = passes.withColumn("rank", F.explode(F.expr("sequence(first div length, (end - 1) div length)")))
     overlap = F.least("end", (F.col("rank") + 1) * F.col("length")) - F.greatest("first", F.col("rank") * F.col("length"))
     got = pieces.withColumn("words", overlap).join(ranked, ["k", "rank"]).groupBy("row_id").agg(F.sum("words").alias("taken"))
     return (
-        laid.join(sources.select("k", "source_size", "target"), "k")
+        laid.join(sent(sources.select("k", "source_size", "target")), "k")
         .join(got, "row_id", "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     )
