@@ -22,7 +22,7 @@ LEAST_SLOTS = 64
 WEIGHTS = (5, 2, 1)
 #: How often a source may be repeated.
 REPEATS = 3
-#: Sources up to which a few numbers of each are sent to all executors, some 4 MB; beyond, no source is very large.
+#: Sources up to which a few numbers of each are sent to all executors, some 4 MB; with more, Spark's skew join spreads a hot one.
 BROADCAST = 1 << 16
 GOLDEN = 2654435769  # 2 ** 32 / golden ratio, odd
 _CHUNK, _CELL = 12, 20

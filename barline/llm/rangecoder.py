@@ -145,7 +145,7 @@ def encode(ids: np.ndarray) -> bytes:
     if not n:
         return head
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, np.intp)
+    grid = np.zeros(lanes * steps, np.uint16)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(lanes, False)
@@ -153,7 +153,8 @@ def encode(ids: np.ndarray) -> bytes:
     most = steps * TOTAL_BITS // 32 + 4
     words = np.zeros(lanes * most, np.uint32)  # one lane after the other
     used = np.arange(lanes) * most
-    for now in grid:
+    for row in grid:
+        now = row.astype(np.intp)
         model.predict()
         hit1, hit2 = now == model.p1, now == model.p2
         start, size = model.interval(now, hit1, hit2)

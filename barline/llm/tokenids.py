@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from barline.llm import rangecoder, shingles
 from barline.llm.tables import new_path, partitions
-from barline.llm.tokens import ByteLevelIds
+from barline.llm.tokens import REMEMBERED, ByteLevelIds
 
 #: A block is closed when it has so many ids.
 BLOCK_IDS = 1 << 22
@@ -29,9 +29,9 @@ END = 0
 FORMAT = "part int, block int, nameless int, doc_ids binary, lengths binary, n_ids long, payload binary"
 
 
-def _blocks(vocabulary: str):
+def _blocks(vocabulary: str, remembered: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ByteLevelIds.of_file(vocabulary)
+        ids = ByteLevelIds.of_file(vocabulary, remembered)
         part, block, end = TaskContext.get().partitionId(), 0, np.array([END], "<u2").tobytes()
         docs: list[np.ndarray] = []
         coded: list[bytes] = []
@@ -60,15 +60,16 @@ def _blocks(vocabulary: str):
     return step
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary: str) -> None:
+def write_ids(docs: DataFrame, path: str, vocabulary: str, remembered: int = REMEMBERED) -> None:
     """Encode the texts of docs (doc_id, text; others are ignored) and write the blocks to `path`.
 
     Null texts have only the end id. Rows without a doc_id come first; rows that share one follow each other by a hash
-    of the text, which also spreads them over ranges. An empty table writes no block.
+    of the text, which also spreads them over ranges. Texts are encoded whole, at any length; a block is never cut inside a
+    document. An empty table writes no block. `remembered` words are held in each table of a worker (tokens.py).
     """
     given = docs.select("doc_id", "text").withColumn("place", F.xxhash64("text"))
     placed = given.repartitionByRange(partitions(docs.sparkSession), "doc_id", "place").sortWithinPartitions("doc_id", "place", "text")
-    placed.mapInArrow(_blocks(vocabulary), FORMAT).write.parquet(path)
+    placed.mapInArrow(_blocks(vocabulary, remembered), FORMAT).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +114,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def encode_and_read(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encode_and_read(docs: DataFrame, vocabulary: str, remembered: int = REMEMBERED) -> DataFrame:
     """Write the ids of docs to a new path in the shared folder and read them back."""
     path = new_path(docs.sparkSession, "ids")
-    write_ids(docs, path, vocabulary)
+    write_ids(docs, path, vocabulary, remembered)
     return read_ids(docs.sparkSession, path)

@@ -14,7 +14,7 @@ import sys
 from array import array
 from functools import lru_cache
 
-#: Words in a table before it is set aside; two tables are held.
+#: Words in a table before it is set aside; two tables are held, some 120 bytes a word in each. Smaller ones cost time.
 REMEMBERED = 1 << 20
 _OTHER = re.compile(r"[^\S \n]")
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
@@ -25,15 +25,15 @@ _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 class _Words(dict):
     """word -> ids, filled on first use. A full table is set aside, and words that come up again are taken over from it."""
 
-    def __init__(self, make):
+    def __init__(self, make, room: int):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.before, self.room = make, {}, room
 
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
         if ids is None:
             ids = self.make(word)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.room:
             self.before = dict(self)
             self.clear()
         self[word] = ids
@@ -47,7 +47,7 @@ class ByteLevelIds:
     is that token. With `special_as_text` such strings are ordinary text.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -63,15 +63,15 @@ class ByteLevelIds:
         self.shown = {n: shown(chr(n))[0][0] for n in (32, *range(0xC0, 0x250))}  # how the model spells these signs
         self.space = self.shown[32]
         self.newline = self._whole(["\n"])[0]
-        self.signs = _Words(lambda run: self._whole([run])[0])
+        self.signs = _Words(lambda run: self._whole([run])[0], remembered)
         #: A word at the start of a line has the newline before it, any other a space that is not written.
-        self.known = _Words(self._word)
+        self.known = _Words(self._word, remembered)
 
     @classmethod
     @lru_cache(maxsize=1)
-    def of_file(cls, path: str) -> ByteLevelIds:
+    def of_file(cls, path: str, remembered: int) -> ByteLevelIds:
         """One for all tasks of a worker process, which so share the words that they have met."""
-        return cls(path)
+        return cls(path, remembered=remembered)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
