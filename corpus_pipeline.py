@@ -17,6 +17,8 @@ from barline.llm.tables import free_name, new_path
 
 #: Least score of a language that a document is kept with.
 LEAST_SCORE = 0.5
+#: Words in a table of the last stage, fewer than where it runs alone: its executors have other stages behind them.
+REMEMBERED = 1 << 18
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without id stay. Null, empty and wordless texts are nobody's copies; an empty table stays empty.
     """
     kept = dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    order = F.struct(F.xxhash64("text"), "text", F.xxhash64(*docs.columns))
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
     some = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     some = some.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
     return some.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
@@ -56,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the written ids; null texts have the end id alone."""
-    return tokenids.encode_and_read(docs, vocabulary("byte_bpe_50k.json"))
+    return tokenids.encode_and_read(docs, vocabulary("byte_bpe_50k.json"), REMEMBERED)
 
 
 STAGES = [
