@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     common. A document of one to four words has one shingle, its whole text; without words (null, empty or blank
     text) it has none, and is its own component. component_id is the least doc_id reached. Repeated rows give
     repeated results; rows with equal doc_id and different texts count as linked. A null doc_id is linked with
-    nothing and gets a null component_id, kept. An empty table gives an empty result.
+    nothing and gets a null component_id, kept. Sets are made of whole texts, in memory that grows with one text. An empty
+    table gives an empty result.
     """
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     profile = saved(

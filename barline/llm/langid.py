@@ -25,7 +25,7 @@ from barline.llm.tables import saved
 PER_LANGUAGE = 1500
 #: One in so many of those sets the scale of the margins and the decoding weights.
 CALIBRATE = 4
-#: More label values than this are an error: every language costs a codeword.
+#: Languages that are learned at most, those with the most rows: every one costs a codeword and weights on all executors.
 MAX_LANGUAGES = 500
 #: Below this share of the two best codewords' weight for the best one, a text is flagged.
 AMBIGUOUS = 0.75
@@ -98,9 +98,7 @@ class Model:
 def _sample(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """At most PER_LANGUAGE rows (lang, text, tuned) of each language, and the languages."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND NOT held_out")
-    sizes = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
     order = F.xxhash64("doc_id")
     space = 1 << 30
     part = F.lit(None)
@@ -204,8 +202,10 @@ def with_held_out(docs: DataFrame) -> DataFrame:
 def identify_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous for every row of docs (doc_id, text, lang; others are ignored).
 
-    The model learns from the rows that are not held out and have text and lang; lang is no input of a prediction.
-    Repeated rows get equal results; an empty table gives an empty result; long texts are read whole.
+    The model learns from the rows that are not held out and have text and lang; lang is no input of a prediction. Of
+    more than MAX_LANGUAGES values of lang the commonest are learned. Of languages with equal losses the first by code
+    point is told, and the text is flagged. Repeated rows get equal results; an empty table gives an empty result; long
+    texts are read whole.
     """
     given = with_held_out(docs.select("doc_id", "text", "lang"))
     out = identify(given.select("doc_id", "held_out", "text"), fit(given), ("doc_id", "held_out"))

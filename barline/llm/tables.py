@@ -15,12 +15,14 @@ _WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests on one machine, a folder of our own is set."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own on one machine, an error on a cluster."""
     conf = spark.sparkContext.getConf()
     folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file:///tmp/checkpoints/barline"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 

@@ -108,6 +108,42 @@ def test_languages_of_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.identify_languages(table(spark, [(1, "some text")])).collect()} == {"und"}
 
 
+def test_only_the_commonest_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    words = {"aa": "ka ko ki", "bb": "zum zam zim", "cc": "pff prr ptt"}
+    rows = [(i, words[c], c) for i, c in enumerate(["aa"] * 40 + ["bb"] * 30 + ["cc"] * 3)]
+    got = langid.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["lang_pred"] for r in got} == {"aa", "bb"} and len(got) == len(rows)
+    assert all(r["lang_pred"] == rows[r["doc_id"]][2] for r in got if rows[r["doc_id"]][2] != "cc")
+
+
+def test_languages_equal_a_plain_decoding(spark, docs):
+    """Every bit summed n-gram by n-gram, every codeword's loss written out; held against what the tasks give."""
+    given = langid.with_held_out(docs.select("doc_id", "text", "lang"))
+    model = langid.fit(given)
+    rows = docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect()
+    told = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for row in rows:
+        text = (row["text"] or "").encode()
+        if not langid.has_letter(text):
+            continue
+        framed, bits = b" " + text.lower() + b" ", model.code.shape[1]
+        places = [framed[i] * 256 + framed[i + 1] for i in range(len(framed) - 1)]
+        for i in range(len(framed) - 2):
+            gram = (framed[i] << 16) + (framed[i + 1] << 8) + framed[i + 2]
+            places.append(65536 + (gram * 2654435761 % 2**32 >> 15))
+        loss = [0.0] * len(model.languages)
+        for b in range(bits):
+            mean = sum(float(model.weights[p, b]) for p in places) / (len(places) + langid.SHRINK)
+            margin = mean * model.scale[0][b] + model.scale[1][b]
+            for k in range(len(loss)):
+                loss[k] += model.trust[k][b] * math.log1p(math.exp(-margin * model.code[k][b]))
+        best = min(range(len(loss)), key=loss.__getitem__)
+        score = 1 / sum(math.exp(loss[best] - x) for x in loss)
+        assert told[row["doc_id"]]["lang_pred"] == model.languages[best]
+        assert told[row["doc_id"]]["score"] == pytest.approx(score, abs=1e-6)
+
+
 def test_codewords_are_far_apart():
     for n in (2, 4, 7, 9, 30):
         code = langid.codewords(n)
@@ -212,6 +248,14 @@ def test_large_clusters_are_compared_block_by_block(spark, monkeypatch):
     assert got == root
 
 
+def test_dedup_reads_long_texts_whole(spark):
+    long = prose(random.Random(5), 120_000).split()
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:100_000], *prose(random.Random(6), 20_000).split()])), (3, " ".join(long[:60_000]))]
+    sets = {i: shingle_set(t) for i, t in rows}
+    root = groups(sets)
+    assert {r["doc_id"]: r["component_id"] for r in dedup.near_duplicates(table(spark, rows)).collect()} == root
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 40), (50, 40), (60, 60), (40, 41), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(edges).collect()}
@@ -585,6 +629,8 @@ def test_sketches_of_odd_texts(spark):
     alone = sketch.fingerprints(table(spark, [(7, "abcd")])).first()
     assert alone["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and alone["near_next"] == 1
     assert sketch.fingerprints(df.limit(0)).count() == 0
+    long = [(1, prose(random.Random(3), 60_000)), (2, prose(random.Random(4), 10))]
+    check_sketches(long, {r["doc_id"]: r for r in sketch.fingerprints(table(spark, long)).collect()})
     null_id = sketch.fingerprints(table(spark, [(None, "abcd"), (1, "xy")])).collect()
     assert {(r["doc_id"], r["near_next"]) for r in null_id} == {(None, 0.0), (1, 1.0)}
 
