@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 WIDTH = 5
 #: One in so many shingle hashes is kept.
-SCALE = 8
+SCALE = 4
 _BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -87,7 +87,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document's
     text in ascending doc_id. Null texts are empty; texts without words have an empty sketch. Rows without a doc_id
-    have no next document: the replaced half is gone and near_next is 0. A single document is its own next one.
+    no next document: the replaced half is gone and near_next is 0. A single document is its own next one. Repeated rows
+    follow each other; texts are read whole at any length, in memory that grows with one text and the next. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("kept", sketch(F.col("text")))
