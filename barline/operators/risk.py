@@ -3,25 +3,16 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barline.functions.options import Gates
 from barline.functions.ordered import folded
 
 VERDICTS = ("Accepted", "InvalidQty", "PositionLimitExceeded", "RateLimitExceeded")
 
 
-@dataclass(frozen=True)
-class Gates:
-    max_qty: float = 10.0
-    max_position: float = 100.0
-    max_per_bucket: int = 1000
-    #: Length of a rate bucket in the unit of ts. A bucket begins with the first attempt after the last one's end.
-    bucket: int = 1_000_000
-
-
 class Executor:
     """The state of one account: its position and its rate bucket."""
 

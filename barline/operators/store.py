@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from barline.functions.options import StoreOptions
 from barline.functions.ordered import ROWS, running, spread, with_range
 from barline.functions.scalars import CANDLE_BYTES
 from barline.functions.schema import first_fault, is_valid
+from barline.sources import cold as cold_storage
 from barline.sources.cold import deduplicated, saved
 
 RING_CAPACITY = 10_000
@@ -112,6 +114,19 @@ def cold_rows(placed: DataFrame, max_symbols: int, ring_capacity: int = RING_CAP
     return live_rows(past, ring_capacity).withColumn("spill", F.col("residency"))
 
 
+def opened(log: DataFrame, options: StoreOptions = StoreOptions()) -> tuple[DataFrame, DataFrame | None]:
+    """The store that a log of candles makes: its rows in memory, and its cold rows as read from options.data_dir.
+
+    Invalid candles are left out. Without a data_dir past residencies are dropped, and there are no cold rows.
+    """
+    placed = residency(ingest(log)[0], options.max_symbols)
+    hot = hot_scan(placed, options.max_symbols, options.ring_capacity)
+    if options.data_dir is None:
+        return hot, None
+    cold_storage.write(cold_rows(placed, options.max_symbols, options.ring_capacity).select(*log.columns, "spill"), options.data_dir)
+    return hot, cold_storage.read(log.sparkSession, options.data_dir)
+
+
 def time_range(candles: DataFrame, symbol: str, start: int, end: int) -> DataFrame:
     """Candles of a symbol with start <= ts <= end. An unknown symbol and start > end give no rows; equal ts are kept."""
     return candles.where((F.col("symbol") == symbol) & F.col("ts").between(start, end))

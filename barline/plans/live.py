@@ -19,6 +19,11 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{path}/candles").drop("batch")
 
 
+def stream_last_n(spark, sf_dir):
+    """The five newest ticks of each symbol, held as keyed state."""
+    return live.latest_rings(live.drain(live.rings(market.ticks(live.events(spark, sf_dir)), 5), "stream-rings"))
+
+
 def stream_crossover(spark, sf_dir):
     return live.drain(live.crossovers(market.ticks(live.events(spark, sf_dir))), "stream-crossover")
 
@@ -32,6 +37,7 @@ CLOSED_SQL = f"SELECT * FROM ({batch.BARS}) WHERE (seq + 1) * 3600000000 <= (SEL
 ORACLES = {
     "stream_bars": CLOSED_SQL,
     "stream_ingest": batch.ORACLES["valid_candles"],
+    "stream_last_n": f"SELECT symbol, seq, ts, open, high, low, close, volume FROM ({batch.TICKS}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) <= 5",
     "stream_crossover": batch.CROSS_SQL.replace(batch.BARS, batch.TICKS),
     "stream_executor": batch.EXECUTOR_SQL,
 }

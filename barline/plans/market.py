@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.functions import scalars
+from barline.functions import ordered, scalars
 from barline.functions.options import StrategyOptions
 from barline.operators import backtest, book, indicators, portfolio, risk, stats, store
 from barline.sources import cold, klines, market
@@ -478,10 +478,10 @@ def executor_position(spark, sf_dir):
 
 def strategy_execution(spark, sf_dir):
     """Candles to signals to the executor, with one account for all symbols."""
-    signals = indicators.strategy_signals(_bars(spark, sf_dir), StrategyOptions(qty=0.5)).withColumn("account", F.lit("hub"))
+    signals = indicators.strategy_signals(_bars(spark, sf_dir), StrategyOptions(qty=6.0)).withColumn("account", F.lit("hub"))
     # The executor takes signals as they come: by time, then by symbol.
-    placed = signals.withColumn("seq", F.col("seq") * 128 + F.ascii("symbol"))
-    return risk.executor_position(risk.risk_gate(placed, risk.Gates(), ("account",)), ("account",))
+    placed = ordered.numbered(signals.withColumnRenamed("seq", "bar"), ["account"], ["bar", "symbol"], "seq")
+    return risk.executor_position(risk.risk_gate(placed, GATES, ("account",)), ("account",))
 
 
 _R = "pos := {pos}, begun := {begun}, used := {used}, ok := {ok}, bad := {bad}, over := {over}, rate := {rate}, sd := {sd}, q := {q}, ts := {ts}"
@@ -498,9 +498,16 @@ _RSTEP = _R.format(
     bad=f"a.bad + {_QBAD}::INT", over=f"a.over + (NOT {_QBAD} AND {_POVER})::INT", rate=f"a.rate + (NOT {_QBAD} AND NOT {_POVER} AND {_FULL})::INT",
     sd="0::DOUBLE", q="0::DOUBLE", ts="0::BIGINT",
 )
-EXECUTOR_SQL = f"""WITH r AS (SELECT event_type AS symbol, list_reduce(list(struct_pack({_RZERO.format(sd="(CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE", q="(user_id % 12)::DOUBLE", ts="epoch_us(ts)")}) ORDER BY event_id),
-  lambda a, x: struct_pack({_RSTEP}), struct_pack({_RZERO.format(sd="0::DOUBLE", q="0::DOUBLE", ts="0::BIGINT")})) AS s FROM events GROUP BY 1)
-SELECT symbol, s.pos AS position, s.ok AS accepted, s.bad AS bad_qty, s.over AS over_position, s.rate AS over_rate FROM r"""
+
+
+def _executor_sql(key: str, account: str, sd: str, q: str, ts: str, order: str, source: str) -> str:
+    return f"""WITH r AS (SELECT {account} AS {key}, list_reduce(list(struct_pack({_RZERO.format(sd=sd, q=q, ts=ts)}) ORDER BY {order}),
+  lambda a, x: struct_pack({_RSTEP}), struct_pack({_RZERO.format(sd="0::DOUBLE", q="0::DOUBLE", ts="0::BIGINT")})) AS s FROM {source} GROUP BY 1)
+SELECT {key}, s.pos AS position, s.ok AS accepted, s.bad AS bad_qty, s.over AS over_position, s.rate AS over_rate FROM r"""
+
+
+EXECUTOR_SQL = _executor_sql("symbol", "event_type", "(CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE", "(user_id % 12)::DOUBLE", "epoch_us(ts)", "event_id", "events")
+STRATEGY_SQL = _executor_sql("account", "'hub'", "(CASE side WHEN 'B' THEN 1 ELSE -1 END)::DOUBLE", "6::DOUBLE", "ts", "seq, symbol", f"({CROSS_SQL})")
 
 
 def _resting(spark, sf_dir):
@@ -586,7 +593,7 @@ ORACLES = {
     "portfolio_cash_trades": FLOWS_SQL,
     "risk_gate": GATE_SQL,
     "executor_position": EXECUTOR_SQL,
-    "strategy_execution": f"SELECT 'hub' AS account, sum(CASE side WHEN 'B' THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END) AS position, count(*) AS accepted, 0 AS bad_qty, 0 AS over_position, 0 AS over_rate FROM ({CROSS_SQL})",
+    "strategy_execution": STRATEGY_SQL,
     "book_top": TOP_SQL,
     "book_sweep_static": SWEEP_SQL,
     "fok_feasibility": FOK_SQL,

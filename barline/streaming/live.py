@@ -6,7 +6,6 @@ functions take and give streaming DataFrames; `drain` runs one over what there i
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +21,7 @@ from barline.sources import cold
 from barline.sources.market import HOUR, micros
 
 CROSSING = "symbol string, n long, seq long, ts long, side string, short_sma double, long_sma double"
+RING = "symbol string, appends long, seq long, ts long, open double, high double, low double, close double, volume double"
 VERDICT = "symbol string, seq long, side string, qty double, verdict string, position double"
 
 
@@ -91,6 +91,36 @@ def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(parts)).sort_values("seq")
 
 
+def rings(stream: DataFrame, capacity: int) -> DataFrame:
+    """What the ring of each symbol holds after each batch that brought it candles: its newest `capacity` by seq, and `appends` so far.
+
+    The state of a symbol is its ring. Batches may come in any order; of a batch no more than a ring and a part is held.
+    """
+    names = [c.split()[0] for c in RING.split(", ")][2:]
+    room = max(1, capacity)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, *columns = state.get if state.exists else (0, *([] for _ in names))
+        held = pd.DataFrame(dict(zip(names, map(list, columns), strict=True)))
+        for part in parts:
+            n += len(part)
+            both = pd.concat([held, part[names]]) if len(held) else part[names]
+            held = both.sort_values("seq", kind="stable").tail(room)
+        state.update((n, *(held[c].tolist() for c in names)))
+        held.insert(0, "symbol", key[0])
+        held.insert(1, "appends", n)
+        yield held
+
+    kinds = dict(c.split() for c in RING.split(", "))
+    return _keyed(stream.select("symbol", *names), RING, ", ".join(["n long", *(f"{c} array<{kinds[c]}>" for c in names)]), step)
+
+
+def latest_rings(written: DataFrame) -> DataFrame:
+    """The last state of each ring, of all that `rings` wrote."""
+    last = written.groupBy("symbol").agg(F.max("appends").alias("appends"))
+    return written.join(last, ["symbol", "appends"], "left_semi").drop("appends")
+
+
 def crossovers(stream: DataFrame, short: int = 10, long: int = 20) -> DataFrame:
     """The crossings that `sma_crossover` finds, of a stream (symbol, seq, ts, close) with periods of one at least.
 
@@ -99,8 +129,8 @@ def crossovers(stream: DataFrame, short: int = 10, long: int = 20) -> DataFrame:
     first, most = max(short, long + 1) + 1, max(short, long)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last, written, before = state.get if state.exists else (0, None, "[]", None)
-        keys, out = json.loads(written), []
+        n, last, written, before = state.get if state.exists else (0, None, [], None)
+        keys, out = list(written), []
         for row in _in_order(parts).itertuples(index=False):
             if last is not None and row.ts <= last:
                 continue
@@ -112,11 +142,11 @@ def crossovers(stream: DataFrame, short: int = 10, long: int = 20) -> DataFrame:
                 side = "B" if now > 0 else "S"
                 out.append((key[0], n, row.seq, row.ts, side, s / float(short * PRICE_SCALE), l / float(long * PRICE_SCALE)))
             before = now
-        state.update((n, last, json.dumps(keys), before))
+        state.update((n, last, keys, before))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CROSSING.split(", ")])
 
     lean = stream.select("symbol", "seq", "ts", price_key(F.col("close")).alias("key"))
-    return _keyed(lean, CROSSING, "n long, last long, keys string, before long", step)
+    return _keyed(lean, CROSSING, "n long, last long, keys array<long>, before long", step)
 
 
 def executions(stream: DataFrame, gates: Gates = Gates()) -> DataFrame:

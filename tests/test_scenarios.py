@@ -443,6 +443,36 @@ def test_options():
     assert StrategyOptions.from_settings({"SMA_SHORT": "5", "SMA_QTY": "x"}) == StrategyOptions(short=5)
 
 
+def test_gates_come_from_settings():
+    from barline.operators.risk import Gates
+
+    assert Gates.from_settings({"RISK_MAX_QTY": "2.5", "RISK_BUCKET": "60", "RISK_MAX_POSITION": "", "SMA_MAX_QTY": "9"}) == Gates(max_qty=2.5, bucket=60)
+
+
+def test_store_from_options(spark, tmp_path):
+    from barline.functions.options import StoreOptions
+
+    log = candles(spark, [(s, t, {}) for t, s in enumerate("AABBBCA")] + [("D", 9, {"high": 0.1})])
+    hot, cold = store.opened(log, StoreOptions(max_symbols=2, ring_capacity=2, data_dir=f"file://{tmp_path}/cold"))
+    assert sorted((r["symbol"], r["ts"]) for r in hot.collect()) == [("A", 6), ("C", 5)]
+    assert sorted((r["symbol"], r["ts"]) for r in cold.collect()) == [("A", 0), ("A", 1), ("B", 3), ("B", 4)]
+    assert store.opened(log, StoreOptions(max_symbols=2))[1] is None
+
+
+def test_rings_go_on_over_batches(spark, tmp_path):
+    from barline.streaming import live
+
+    out = f"file://{tmp_path}/out"
+    for part in (range(0, 50), range(100, 140), range(50, 100)):
+        rows = [("AB"[t % 2], t, {"close": float(t)}) for t in part]
+        candles(spark, rows).withColumn("seq", F.col("ts")).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = live.rings(spark.readStream.schema(schema.CANDLE).parquet(f"file://{tmp_path}/in"), 3)
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file://{tmp_path}/check")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    got = live.latest_rings(spark.read.schema(live.RING).parquet(out)).collect()
+    assert sorted((r["symbol"], r["seq"], r["close"]) for r in got) == [("A", t, float(t)) for t in (134, 136, 138)] + [("B", t, float(t)) for t in (135, 137, 139)]
+
+
 def test_stream_state_goes_on_over_batches(spark, tmp_path):
     """Two runs over one checkpoint give what one pass over all rows gives."""
     from barline.streaming import live
