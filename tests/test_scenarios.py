@@ -452,7 +452,7 @@ def test_gates_come_from_settings():
 def test_store_from_options(spark, tmp_path):
     from barline.functions.options import StoreOptions
 
-    log = candles(spark, [(s, t, {}) for t, s in enumerate("AABBBCA")] + [("D", 9, {"high": 0.1})])
+    log = candles(spark, [(s, t, {}) for t, s in enumerate("AABBBCA")] + [("D", 9, {"close": float("nan")})])
     hot, cold = store.opened(log, StoreOptions(max_symbols=2, ring_capacity=2, data_dir=f"file://{tmp_path}/cold"))
     assert sorted((r["symbol"], r["ts"]) for r in hot.collect()) == [("A", 6), ("C", 5)]
     assert sorted((r["symbol"], r["ts"]) for r in cold.collect()) == [("A", 0), ("A", 1), ("B", 3), ("B", 4)]
