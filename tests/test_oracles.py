@@ -54,7 +54,7 @@ def small_events(folder, rows: str) -> duckdb.DuckDBPyConnection:
     return db
 
 
-@pytest.mark.parametrize("name", ["paper_fills", "portfolio_cash_trades", "portfolio_pnl"])
+@pytest.mark.parametrize("name", ["paper_fills", "portfolio_cash_trades", "portfolio_pnl", "portfolio_positions"])
 def test_free_orders_are_filled_as_in_sql(spark, tmp_path, name):
     """Some values are 0, as in the larger tables, and so are the prices of their orders."""
     db = small_events(tmp_path, "SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i * 20) MINUTE AS ts, i // 3 AS user_id, 'A' AS event_type, CASE WHEN i % 5 = 0 THEN 0.0 ELSE i * 7 % 11 END::DOUBLE AS value, '' AS props FROM range(60) t(i)")
