@@ -491,6 +491,32 @@ def test_stream_state_goes_on_over_batches(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want and want
 
 
+def test_rows_of_a_batch_are_put_in_order_in_bounded_memory():
+    """Ten times the rows, in runs of 10,000: what is held at once grows much less."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from barline.streaming import live
+
+    def parts(n):
+        for at in range(0, n, 500):
+            seq = [(i * 7919) % n for i in range(at, at + 500)]
+            yield pd.DataFrame({"seq": seq, "side": ["BS"[s % 2] for s in seq]})
+
+    peaks = []
+    for n in (20_000, 200_000):
+        tracemalloc.start()
+        rows = 0
+        for row in live._in_order(parts(n), 10_000):
+            assert (row.seq, row.side) == (rows, "BS"[rows % 2])
+            rows += 1
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == n
+    assert peaks[1] < 5 * peaks[0]
+
+
 def test_events_may_be_a_folder(spark, tmp_path):
     from barline.streaming import live
 
