@@ -25,7 +25,8 @@ def stream_last_n(spark, sf_dir):
 
 
 def stream_crossover(spark, sf_dir):
-    return live.drain(live.crossovers(market.ticks(live.events(spark, sf_dir))), "stream-crossover")
+    """Crossings of ticks by arrival. Every tick counts, as in the SQL; ticks may share a ts or come late."""
+    return live.drain(live.crossovers(market.ticks(live.events(spark, sf_dir)), every=True), "stream-crossover")
 
 
 def stream_executor(spark, sf_dir):
