@@ -1,6 +1,8 @@
 """Cold storage of candles: Parquet by symbol, files checked by their footers before they are read.
 
-Folders are symbol=<escaped by Spark>, which unlike a plain replacement of signs is reversible. A file is accepted if
+Folders are symbol=<escaped by Spark>, which unlike a plain replacement of signs is reversible. Very many symbols are
+kept in files of ranges instead, with the symbol as a column, as a folder for each would take longer to write and list
+than the candles; a path has one of both layouts, and Spark refuses to read a mix. A file is accepted if
 it has no brand and no version, or this brand with a version up to the current one, and if the columns are there with
 their types; more columns are ignored. Spark itself would read a missing column as null, so the footers are checked.
 """
@@ -20,16 +22,19 @@ BRAND, VERSION = "barline", 1
 KINDS = {"ts": "int64"} | {f: "double" for f in BAR.names[1:]}
 
 
-def write(candles: DataFrame, path: str) -> None:
+def write(candles: DataFrame, path: str, folders: bool = True) -> None:
     """Append candles (symbol, ts, open .. volume; `spill`, the number of the write, if there) below `path`.
 
     File names are new in each write, so nothing is overwritten. Rows are sorted by ts in each file, so that a range of
-    ts needs few row groups.
+    ts needs few row groups. With folders=False the number of files does not depend on that of the symbols: each has a
+    range of (symbol, ts), and Parquet's own statistics tell which row groups have a symbol.
     """
     columns = ["symbol", *BAR.names, *(["spill"] if "spill" in candles.columns else [])]
     # A hot symbol is spread over tasks by a part of its range of ts.
     cut = candles.select(*columns).repartitionByRange("symbol", "ts").sortWithinPartitions("symbol", "ts")
-    cut.write.mode("append").partitionBy("symbol").parquet(path)
+    if not folders:
+        cut = cut.withColumn("layout", F.lit("ranges"))
+    cut.write.mode("append").partitionBy("symbol" if folders else "layout").parquet(path)
 
 
 def fault_of(metadata: dict[bytes, bytes] | None, schema: pa.Schema) -> str | None:
@@ -74,18 +79,18 @@ def check_files(spark: SparkSession, path: str, glob: str = "*.parquet") -> Data
 
 
 def read(spark: SparkSession, path: str, *, checked: bool = False) -> DataFrame:
-    """Candles below `path`, with `symbol` from the folder and `spill` if it was written.
+    """Candles below `path`, with `symbol` from the folder, or from the files of ranges, and `spill` if it was written.
 
     With checked=True only files that pass check_files are read, for folders that others write to. A filter on symbol
-    prunes folders and one on ts is pushed down to row groups.
+    prunes folders, or row groups of ranges, and one on ts is pushed down to row groups.
     """
     schema = f"{BAR.simpleString()[7:-1].replace(':', ' ')}, spill long, symbol string"
     if not checked:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).drop("layout")
     good = [r["path"] for r in check_files(spark, path).where("fault IS NULL").select("path").toLocalIterator()]
     if not good:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(*good)
+    return spark.read.schema(schema).option("basePath", path).parquet(*good).drop("layout")
 
 
 def deduplicated(cold: DataFrame) -> DataFrame:

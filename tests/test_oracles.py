@@ -1,5 +1,6 @@
 """Every query with SQL against that SQL, over whole tables."""
 
+import glob
 import os
 
 import compare
@@ -65,3 +66,11 @@ def test_stream_crossover_counts_late_ticks(spark, tmp_path):
     """The second half has the times of the first again, as in tables that are made larger by copies."""
     db = small_events(tmp_path, "SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i % 60) MINUTE AS ts, i // 3 AS user_id, 'A' AS event_type, (i * i % 11)::DOUBLE AS value, '' AS props FROM range(120) t(i)")
     assert compare.differences(spark, db, registry.queries()["stream_crossover"], registry.oracle_sql()["stream_crossover"], str(tmp_path)) == ""
+
+
+def test_cold_range_needs_no_folder_for_each_symbol(spark, tmp_path):
+    db = small_events(tmp_path, "SELECT i AS event_id, TIMESTAMP '2024-01-07' + INTERVAL (i) SECOND AS ts, i * 7 % 300 AS user_id, 'A' AS event_type, (i % 11)::DOUBLE AS value, '' AS props FROM range(3000) t(i)")
+    written = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir').removeprefix('file://')}/cold-*/**/*.parquet"
+    before = set(glob.glob(written, recursive=True))
+    assert compare.differences(spark, db, registry.queries()["cold_range"], registry.oracle_sql()["cold_range"], str(tmp_path)) == ""
+    assert 0 < len(set(glob.glob(written, recursive=True)) - before) < 30

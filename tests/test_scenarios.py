@@ -186,6 +186,20 @@ def test_cold_spills_overlap_and_newest_wins(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(symbol" in plan and "GreaterThanOrEqual(ts,3)" in plan
 
 
+def test_cold_ranges_prune_by_symbol(spark, tmp_path):
+    path = f"file://{tmp_path}/cold"
+    for spill in (1, 2):
+        rows = candles(spark, [(s, t, {"close": float(spill)}) for s in ("A/B", "A_B", "é") for t in range(4)])
+        cold.write(rows.where(f"ts < {6 - 2 * spill}").withColumn("spill", F.lit(spill).cast("long")), path, folders=False)
+    assert values(cold.query(cold.read(spark, path), "A/B", 1, 9), "symbol", "ts", "close") == [("A/B", 1, 2.0), ("A/B", 2, 1.0), ("A/B", 3, 1.0)]
+    assert cold.read(spark, path).columns == cold.read(spark, path, checked=True).columns == [*schema.BAR.names, "spill", "symbol"]
+    assert cold.read(spark, path, checked=True).count() == 18
+    assert "EqualTo(symbol,A_B)" in cold.read(spark, path).where("symbol = 'A_B'")._jdf.queryExecution().executedPlan().toString()
+    cold.write(rows, path)
+    with pytest.raises(Exception, match="(?i)conflict"):
+        cold.read(spark, path).count()
+
+
 def test_file_gate(spark, tmp_path):
     folder = tmp_path / "gate" / "symbol=A"
     folder.mkdir(parents=True)
