@@ -9,14 +9,15 @@ from barline.functions.ordered import numbered
 
 
 def series_summary(candles: DataFrame) -> DataFrame:
-    """Per symbol: candles, mean close, first and last ts and close by arrival, span, lowest low, highest high."""
+    """Per symbol: candles, mean close, first and last ts and close by arrival, span, lowest low, highest high. Missing closes are passed over."""
+    closed = F.when(F.col("close").isNotNull(), F.col("seq"))
     made = candles.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("candles"),
         (F.sum(F.round(F.col("close") * 100_000_000).cast("long")).cast("double") / (F.count(F.lit(1)) * 1e8)).alias("mean_close"),
         F.min_by("ts", "seq").alias("first_ts"),
         F.max_by("ts", "seq").alias("last_ts"),
-        F.min_by("close", "seq").alias("first_close"),
-        F.max_by("close", "seq").alias("last_close"),
+        F.min_by("close", closed).alias("first_close"),
+        F.max_by("close", closed).alias("last_close"),
         F.min("low").alias("lowest"),
         F.max("high").alias("highest"),
     )

@@ -30,9 +30,12 @@ def ticks(given: DataFrame, symbol: str = "event_type") -> DataFrame:
 
 
 def bars(given: DataFrame, width: int = HOUR) -> DataFrame:
-    """Events resampled to candles of `width` microseconds; seq is the number of the interval, last_event the latest event_id."""
+    """Events resampled to candles of `width` microseconds; seq is the number of the interval, last_event the latest event_id.
+
+    An event without a value counts in volume and last_event, but is no price.
+    """
     at = micros(F.col("ts"))
-    place = F.struct("at", "event_id")
+    place = F.when(F.col("value").isNotNull(), F.struct("at", "event_id"))
     bar = given.withColumn("at", at).withColumn("seq", F.floor(F.col("at") / width).cast("long")).groupBy(F.col("event_type").alias("symbol"), "seq")
     made = bar.agg(
         F.min_by("value", place).alias("open"),
@@ -46,9 +49,9 @@ def bars(given: DataFrame, width: int = HOUR) -> DataFrame:
 
 
 def orders(given: DataFrame) -> DataFrame:
-    """An order for each event: side by user, kind by turns, market orders without price."""
+    """An order for each event: side by user, kind by turns (FOK where event_id is negative and no multiple of 4), market orders without price."""
     kinds = F.array(*map(F.lit, ("LIMIT", "MARKET", "IOC", "FOK")))
-    kind = F.get(kinds, (F.col("event_id") % 4).cast("int"))
+    kind = F.coalesce(F.get(kinds, (F.col("event_id") % 4).cast("int")), F.lit("FOK"))
     return given.select(
         F.col("event_id").alias("seq"),
         F.col("event_type").alias("symbol"),

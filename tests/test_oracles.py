@@ -62,6 +62,13 @@ def test_free_orders_are_filled_as_in_sql(spark, tmp_path, name):
     assert compare.differences(spark, db, registry.queries()[name], registry.oracle_sql()[name], str(tmp_path)) == ""
 
 
+@pytest.mark.parametrize("name", ["ohlcv_resample", "stream_bars", "series_summary", "portfolio_cash_trades", "portfolio_pnl", "portfolio_positions"])
+def test_missing_values_and_negative_numbers_as_in_sql(spark, tmp_path, name):
+    """Some events have no value, among them the first and last of an hour and the last of all; numbers start below 0."""
+    db = small_events(tmp_path, "SELECT i - 30 AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i * 20) MINUTE AS ts, i // 3 AS user_id, 'A' AS event_type, CASE WHEN i % 4 <> 3 THEN i * 7 % 11 + 1 END::DOUBLE AS value, '' AS props FROM range(60) t(i)")
+    assert compare.differences(spark, db, registry.queries()[name], registry.oracle_sql()[name], str(tmp_path)) == ""
+
+
 def test_stream_crossover_counts_late_ticks(spark, tmp_path):
     """The second half has the times of the first again, as in tables that are made larger by copies."""
     db = small_events(tmp_path, "SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i % 60) MINUTE AS ts, i // 3 AS user_id, 'A' AS event_type, (i * i % 11)::DOUBLE AS value, '' AS props FROM range(120) t(i)")
